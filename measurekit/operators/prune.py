@@ -70,7 +70,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     summed = data.mapInPandas(partials, "chunk int, m array<double>").groupBy("chunk").agg(
         vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
-    return summed.groupBy(F.lit(0)).applyInPandas(
+    return summed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
         pairs, "pos_i int, pos_j int, i string, j string, r double")
 
 
