@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 SMALL_ROWS = 50_000        # most rows a side may have to be broadcast
 HOT_SHARE = 0.001          # a key above this share of rows is hot: at most 1000 such keys
 HOT_MIN_ROWS = 1_000_000   # below this a key is never worth salting
@@ -108,22 +110,26 @@ def tile(rn: Column, n: Column, k: int) -> Column:
         r + F.floor((rn - 1 - head) / F.greatest(q, F.lit(1)))).cast("int")
 
 
+def settled(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
+    """``df`` computed once: a local relation when small, a reliable checkpoint otherwise."""
+    local = small_local(df, bound)
+    return cut(df) if local is None else local
+
+
 def exact_quantiles(df: DataFrame, by, value: str, probs: Sequence[float],
                     group_rows: int = EXACT_GROUP_ROWS) -> DataFrame:
     """Linear-interpolated quantiles ``q0, q1, ...`` per group, exact at any group size.
 
-    Groups of ordinary size use the built-in exact aggregate. Larger ones, which
-    would need every distinct value in one task, are narrowed first.
+    Groups of up to ``group_rows`` rows use the built-in exact aggregate. Larger ones,
+    which would need every distinct value in one task, are narrowed first.
     """
     by = as_list(by)
     known = df.select(*by, value).filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    n_all = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if n_all[0] is None or n_all[1] <= group_rows:
+    sizes = settled(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    hot = sizes.filter(F.col("_n") > group_rows)
+    if hot.isEmpty():
         return _builtin_quantiles(known, by, value, probs)
-    floor = max(group_rows, int(n_all[0] / 10_000))
-    hot = small_local(sizes.filter(F.col("_n") > floor), 10_001)
-    flagged = known.join(F.broadcast(hot), by, "left")
+    flagged = join_small(known, hot, by, "left")
     rest = _builtin_quantiles(flagged.filter(F.col("_n").isNull()).drop("_n"), by, value, probs)
     wide = reduce(
         lambda a, b: a.join(b, by),
@@ -142,48 +148,44 @@ def _narrowed(df: DataFrame, by: list[str], value: str, p: float, group_rows: in
 
     Each round takes approximate quantiles of the current bracket to propose a
     tighter one and counts exactly what lies below it; a proposal that misses the
-    rank is refused, so approximation affects speed only.
+    rank is refused, so approximation affects speed only. Every round is an aggregate
+    combined on the map side: no round shuffles the rows.
     """
-    spark = df.sparkSession
-    state = df.select(*by, "_n").distinct()
-    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    state = small_local(state.join(ends, by).select(
-        *by, "_n", "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
-        F.col("_n").alias("_in"), ((F.col("_n") - 1) * p).alias("_rank")), 10_001)
     x = F.col(value)
+    state = settled(df.groupBy(*by).agg(
+        F.first("_n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).select(
+        *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"),
+        ((F.col("_n") - 1) * p).alias("_rank")))
+    rows = df.drop("_n")
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
+    left = None
     for _ in range(12):
-        top = state.filter((F.col("_in") > group_rows) & (F.col("_lo") < F.col("_hi")))
-        if top.isEmpty():
+        wide = state.filter((F.col("_in") > group_rows) & (F.col("_lo") < F.col("_hi")))
+        now = tuple(wide.agg(F.count(F.lit(1)), F.sum("_in")).first())
+        if now[0] == 0 or now == left:
             break
-        rows = df.drop("_n").join(F.broadcast(state), by).filter(inside)
+        left = now
+        held = join_small(rows, wide, by).filter(inside)
         at = (F.col("_rank") - F.col("_below")) / F.col("_in")
-        cuts = (rows.groupBy(*by).agg(
-            F.percentile_approx(value, [i / 200 for i in range(201)], 10_000).alias("_c"),
-            F.first(at).alias("_at")))
+        cuts = held.groupBy(*by).agg(
+            F.percentile_approx(value, [i / 200 for i in range(201)], 10_000).alias("_c"), F.first(at).alias("_at"))
         pick = lambda shift: F.element_at("_c", F.greatest(F.lit(1), F.least(
             F.lit(201), (F.floor(F.col("_at") * 200) + 1 + shift).cast("int"))))
-        proposed = small_local(cuts.select(*by, pick(-1).alias("_plo"), pick(2).alias("_phi")), 10_001)
-        counted = (rows.join(F.broadcast(proposed), by).groupBy(*by).agg(
+        proposed = settled(cuts.select(*by, pick(-1).alias("_plo"), pick(2).alias("_phi")))
+        counted = join_small(held, proposed, by).groupBy(*by).agg(
             F.count_if(x < F.col("_plo")).alias("_b"),
-            F.count_if((x >= F.col("_plo")) & (x <= F.col("_phi"))).alias("_i")))
-        nxt = state.join(proposed, by).join(counted, by)
+            F.count_if((x >= F.col("_plo")) & (x <= F.col("_phi"))).alias("_i"))
+        nxt = state.join(proposed, by, "left").join(counted, by, "left")
         base = F.col("_below") + F.col("_b")
-        holds = (base <= F.floor("_rank")) & (base + F.col("_i") > F.ceil("_rank"))
-        step = nxt.select(
-            *by, "_n", F.when(holds, F.col("_plo")).otherwise(F.col("_lo")).alias("_lo"),
+        holds = F.coalesce((base <= F.floor("_rank")) & (base + F.col("_i") > F.ceil("_rank")), F.lit(False))
+        state = settled(nxt.select(
+            *by, F.when(holds, F.col("_plo")).otherwise(F.col("_lo")).alias("_lo"),
             F.when(holds, F.col("_phi")).otherwise(F.col("_hi")).alias("_hi"),
             F.when(holds, base).otherwise(F.col("_below")).alias("_below"),
-            F.when(holds, F.col("_i")).otherwise(F.col("_in")).alias("_in"), "_rank")
-        rows_next = step.collect()
-        if sorted(map(str, rows_next)) == sorted(map(str, state.collect())):
-            break
-        state = spark.createDataFrame(rows_next, state.schema)
-    kept = (df.drop("_n").join(F.broadcast(state), by).filter(inside)
-            .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"), F.first("_below").alias("_below"),
-                                     F.first("_rank").alias("_rank")))
-    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy(value)) + F.col("_below")
-    placed = kept.withColumn("_upto", upto)
+            F.when(holds, F.col("_i")).otherwise(F.col("_in")).alias("_in"), "_rank"))
+    kept = join_small(rows, state, by).filter(inside).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("_m"), F.first("_below").alias("_below"), F.first("_rank").alias("_rank"))
+    placed = kept.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*by).orderBy(value)) + F.col("_below"))
     lo = F.min(F.when(F.col("_upto") > F.floor("_rank"), x))
     hi = F.min(F.when(F.col("_upto") > F.ceil("_rank"), x))
     frac = F.first(F.col("_rank") - F.floor("_rank"))

@@ -115,8 +115,9 @@ def non_dominated(summary: DataFrame, roster: Sequence[str]) -> DataFrame:
         F.col("_bm") - F.col("mean_r2") <= F.greatest("_bs", "std_r2")).drop("_bm", "_bs")
 
 
-def top_features(coefs: DataFrame, n: int = 20) -> DataFrame:
-    w = Window.partitionBy(TYPE, MODEL).orderBy(F.desc(F.abs("coef")), "feature")
+def top_features(coefs: DataFrame, n: int = 20, by: str = "coef") -> DataFrame:
+    """Leading features by absolute coefficient, or by standardised ``weight``."""
+    w = Window.partitionBy(TYPE, MODEL).orderBy(F.desc(F.abs(by)), "feature")
     return coefs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

@@ -51,15 +51,21 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[
 
 
 def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str], target: str = Y,
-              weight: str | None = None) -> Gram:
-    """Moments of labelled rows. ``folds`` names one fold column per repeat."""
+              weight: str | None = None, like: Gram | None = None) -> Gram:
+    """Moments of labelled rows. ``folds`` names one fold column per repeat.
+
+    ``like`` reuses another Gram's layout, so that the two can be added.
+    """
     by, features = as_list(by), list(features)
     df = df.filter(F.col(target).isNotNull()).select(
         *by, *folds, F.col(target).cast("double").alias(target),
         *[F.col(c).cast("double").alias(c) for c in features if c != target],
         *([F.col(weight).cast("double").alias(weight)] if weight else []))
-    means, gaps = column_means(df, [target, *features])
-    missing = [c for c in features if c in gaps]
+    if like is None:
+        means, gaps = column_means(df, [target, *features])
+        missing = [c for c in features if c in gaps]
+    else:
+        means, missing = like.shift, like.missing
     at = [features.index(c) for c in missing]
     shift = np.array(means)
     width, n_by = 2 + len(features) + len(missing), len(by)

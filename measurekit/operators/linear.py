@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import FOLD, MODEL, PRED, REPEAT, TYPE, Y
-from ..dist import join_small
+from ..dist import SMALL_ROWS, as_list, join_small, settled
 from .folds import fold_names
 from .gram import Gram, Moments, filled, fold_gram, train_medians
 
 CODEGEN_FEATURES = 200
+MODEL_NUMBERS = 20_000_000      # most numbers a model table may bring to the driver
 FULL = -1
 
 # A model is described by a plain mapping:
@@ -23,6 +24,7 @@ FULL = -1
 #   alpha     penalty; ``alphas`` for ridge_cv; ``l1`` share for enet
 #   scale     standardise with training statistics first
 #   select    keep this many features by univariate F, or "adaptive"
+#   only      use these features alone; a list, or a mapping type -> list
 Spec = Mapping[str, object]
 
 
@@ -77,10 +79,10 @@ def elastic_net(g: np.ndarray, c: np.ndarray, n: float, alpha: float, l1: float)
     return w
 
 
-def _solve(s: Moments, spec: Spec, alpha: float) -> tuple[float, np.ndarray]:
+def _solve(s: Moments, spec: Spec, alpha: float, allowed: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     p = len(s.cxy)
     b = np.zeros(p)
-    live = np.flatnonzero(s.var > 0)
+    live = np.flatnonzero(s.var > 0 if allowed is None else (s.var > 0) & allowed)
     k = spec.get("select")
     if k is not None and len(live):
         keep = adaptive_k(s.n, p) if k == "adaptive" else int(k)
@@ -100,14 +102,14 @@ def _solve(s: Moments, spec: Spec, alpha: float) -> tuple[float, np.ndarray]:
     return s.y_mean - float(s.mean @ b), b
 
 
-def _pick_alpha(parts: list[np.ndarray], total: np.ndarray, spec: Spec) -> float:
+def _pick_alpha(parts: list[np.ndarray], total: np.ndarray, spec: Spec, allowed: np.ndarray | None) -> float:
     """Penalty with the least mean squared error over the given folds."""
     best, least = None, np.inf
     for alpha in spec["alphas"]:
         err = 0.0
         for v in parts:
             held = Moments(v)
-            err += held.sse(*_solve(Moments(total - v), spec, float(alpha))) / max(held.n, 1.0)
+            err += held.sse(*_solve(Moments(total - v), spec, float(alpha), allowed)) / max(held.n, 1.0)
         if err < least:
             best, least = float(alpha), err
     return best
@@ -119,7 +121,8 @@ def model_schema(gram: Gram) -> T.StructType:
         *[gram.table.schema[b] for b in gram.by], T.StructField(REPEAT, T.IntegerType()),
         T.StructField(FOLD, T.IntegerType()), T.StructField(MODEL, T.StringType()),
         T.StructField("n_train", T.DoubleType()), T.StructField("alpha", T.DoubleType()),
-        T.StructField("b0", T.DoubleType()), T.StructField("coefs", arr), T.StructField("fill", arr),
+        T.StructField("b0", T.DoubleType()), T.StructField("coefs", arr), T.StructField("weights", arr),
+        T.StructField("fill", arr),
         T.StructField("n_val", T.DoubleType()), T.StructField("val_sse", T.DoubleType()),
         T.StructField("val_sst", T.DoubleType()), T.StructField("train_sse", T.DoubleType())])
 
@@ -135,6 +138,14 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
     shift, medians = np.array(gram.shift), dict(medians or {})
     width = gram.width
 
+    features = gram.features
+
+    def allowed(spec: Spec, key: list) -> np.ndarray | None:
+        only = spec.get("only")
+        if isinstance(only, Mapping):
+            only = only.get(key[0])
+        return None if only is None else np.isin(features, list(only))
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([FOLD, "chunk"])
         parts = {int(f): np.concatenate(g["m"].tolist()).reshape(width, width) for f, g in pdf.groupby(FOLD)}
@@ -156,22 +167,30 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
             inner = [filled(m, p, at, off) for g, m in parts.items() if g != f]
             held = Moments(filled(parts[f], p, at, off)) if f != FULL else None
             for name, spec in specs.items():
-                alpha = _pick_alpha(inner, side, spec) if spec["kind"] == "ridge_cv" else float(spec.get("alpha", 0.0))
-                b0, b = _solve(s, spec, alpha)
+                use = allowed(spec, key)
+                alpha = _pick_alpha(inner, side, spec, use) if spec["kind"] == "ridge_cv" else float(spec.get("alpha", 0.0))
+                b0, b = _solve(s, spec, alpha, use)
                 rows.append([*key, rep, f, name, s.n, alpha, b0 + shift[0] - float(shift[1:] @ b), b.tolist(),
-                             fill.tolist(), held.n if held else None, held.sse(b0, b) if held else None,
+                             (b * np.sqrt(s.var / max(s.n, 1.0))).tolist(), fill.tolist(), held.n if held else None, held.sse(b0, b) if held else None,
                              held.syy if held else None, s.sse(b0, b)])
         return pd.DataFrame(rows, columns=schema.names)
 
     return gram.table.groupBy(*by, REPEAT).applyInPandas(fit, schema)
 
 
+def settled_models(models: DataFrame, n_features: int) -> DataFrame:
+    return settled(models, min(SMALL_ROWS, MODEL_NUMBERS // (3 * n_features + 10)))
+
+
 def fit_linear(df: DataFrame, features: Sequence[str], specs: Mapping[str, Spec], by=TYPE, repeats: int = 1,
                k: int = 5, target: str = Y, weight: str | None = None) -> DataFrame:
-    """Model table from rows that carry ``fold_0 .. fold_{repeats-1}``; medians fill the gaps."""
+    """Model table from rows that carry ``fold_0 .. fold_{repeats-1}``; medians fill the gaps.
+
+    Computed once: the table has one row per (type, repeat, fold, model).
+    """
     folds = fold_names(repeats)
     gram = fold_gram(df, features, by, folds, target, weight)
-    return solve(gram, specs, train_medians(df, gram, folds, k, target))
+    return settled_models(solve(gram, specs, train_medians(df, gram, folds, k, target)), len(features))
 
 
 def dot(model: Column, features: Sequence[str]) -> Column:
@@ -187,16 +206,16 @@ def dot(model: Column, features: Sequence[str]) -> Column:
     return model["b0"] + F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
 
 
-def packed(models: DataFrame, by: str, names: Sequence[str]) -> DataFrame:
+def packed(models: DataFrame, by, names: Sequence[str]) -> DataFrame:
     """One row per type; per model a map (repeat, fold) -> coefficients. Bounded by folds x repeats."""
     value = F.struct("b0", "coefs", "fill")
     entry = F.struct((F.col(REPEAT) * 1000 + F.col(FOLD)).alias("k"), value.alias("v"))
-    return models.groupBy(by).agg(*[
+    return models.groupBy(*as_list(by)).agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col(MODEL) == n, entry))).alias(f"_m_{n}") for n in names])
 
 
 def predict_oof(df: DataFrame, features: Sequence[str], models: DataFrame, names: Sequence[str],
-                repeats: int = 1, by: str = TYPE, per_repeat: bool = False) -> DataFrame:
+                repeats: int = 1, by=TYPE, per_repeat: bool = False) -> DataFrame:
     """Out-of-fold predictions as ``pred_<model>`` columns, averaged over repeats.
 
     Every row looks up the coefficients that did not see its fold: no shuffle, no
@@ -247,11 +266,11 @@ def predict_ensemble(df: DataFrame, features: Sequence[str], models: DataFrame,
 
 
 def coefficients(models: DataFrame, features: Sequence[str], by: str = TYPE) -> DataFrame:
-    """Long coefficients of the full fits: type, model, feature, coef."""
+    """Long coefficients of the full fits; ``weight`` is the coefficient of the standardised feature."""
     names = F.array(*[F.lit(f) for f in features])
-    return models.filter(F.col(FOLD) == FULL).select(
-        by, MODEL, F.explode(F.arrays_zip(names.alias("feature"), F.col("coefs").alias("coef"))).alias("z")).select(
-        by, MODEL, F.col("z.feature").alias("feature"), F.col("z.coef").alias("coef"))
+    return models.filter(F.col(FOLD) == FULL).select(by, MODEL, F.explode(F.arrays_zip(
+        names.alias("feature"), F.col("coefs").alias("coef"), F.col("weights").alias("weight"))).alias("z")).select(
+        by, MODEL, F.col("z.feature").alias("feature"), F.col("z.coef").alias("coef"), F.col("z.weight").alias("weight"))
 
 
 def gram_scores(models: DataFrame, by: str = TYPE) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-MODULES = ("q_tables", "q_audit", "q_features", "q_models")
+MODULES = ("q_tables", "q_audit", "q_features", "q_models", "q_stacking")
 
 
 def load_queries() -> dict[str, Query]:

@@ -44,18 +44,17 @@ SCORES = _scores_sql()
 
 
 def _models(m, repeats=3):
-    """The same models, one Gram pass per feature set."""
-    one = fit_linear(m, ["x1"], {"mean": MEAN, "ols1": OLS, "ridge1": {"kind": "ridge", "alpha": 500000.0}}, repeats=repeats)
-    three = fit_linear(m, ["x3"], {"ols3": OLS}, repeats=repeats)
-    return one, three
+    """The same models from one Gram pass; each looks at its own feature only."""
+    return fit_linear(m, ["x1", "x3"], {
+        "mean": MEAN, "ols1": {**OLS, "only": ["x1"]}, "ols3": {**OLS, "only": ["x3"]},
+        "ridge1": {"kind": "ridge", "alpha": 500000.0, "only": ["x1"]}}, repeats=repeats)
 
 
 def _long(spark, d, repeats=3):
-    m = fold_columns(items(spark, d), 5, repeats)
-    one, three = _models(m, repeats)
-    p = predict_oof(m, ["x1"], one, ["mean", "ols1", "ridge1"], repeats, per_repeat=True)
-    p = predict_oof(p, ["x3"], three, ["ols3"], repeats, per_repeat=True)
-    return long_oof(p, ["mean", "ols1", "ridge1", "ols3"], repeats, [ROW, TYPE, Y])
+    m = fold_columns(items(spark, d).select(ROW, KEY, TYPE, Y, "x1", "x3"), 5, repeats)
+    names = ["mean", "ols1", "ridge1", "ols3"]
+    p = predict_oof(m, ["x1", "x3"], _models(m, repeats), names, repeats, per_repeat=True)
+    return long_oof(p, names, repeats, [ROW, TYPE, Y])
 
 
 def _scores(spark, d):
@@ -132,23 +131,10 @@ def _(spark, d):
 @query("ridge_grid_refit", "K2 K10 E6 E7")
 def _(spark, d):
     """Best penalty by cross-validated error, coefficients ranked, refit on the leading features."""
-    feats = ["x1", "x2", "x3", "x4"]
-    m = fold_columns(items(spark, d), 5, 1)
-    grid = {f"{i}": {"kind": "ridge", "alpha": a, "scale": True} for i, a in enumerate(ALPHAS)}
-    models = fit_linear(m, feats, grid)
-    cv = gram_scores(models).groupBy(TYPE, F.col(MODEL)).agg(F.avg("rmse").alias("rmse"))
-    cv = cv.select(TYPE, "rmse", F.col(MODEL).cast("int").alias("alpha"))
-    best = evaluate.best_alpha(cv).select(TYPE, F.col("alpha").cast("string").alias(MODEL))
-    top = evaluate.top_features(coefficients(models, feats).join(best, [TYPE, MODEL]), 2)
-    chosen = {r[TYPE]: r["f"] for r in top.groupBy(TYPE).agg(F.array_sort(F.collect_list("feature")).alias("f")).collect()}
-    out = None
-    for cols in sorted({tuple(v) for v in chosen.values()}):
-        rows = m.filter(F.col(TYPE).isin([t for t, v in chosen.items() if tuple(v) == cols]))
-        fit = fit_linear(rows, list(cols), {"refit": RIDGE}).filter(F.col(FOLD) == -1)
-        part = fit.select(TYPE, F.lit(",".join(cols)).alias("features"),
-                          rounded(F.sqrt(F.col("train_sse") / F.col("n_train")), 4).alias("train_rmse"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    from ..operators.search import grid_refit
+    out = grid_refit(fold_columns(items(spark, d), 5, 1, key=ROW), ["x1", "x2", "x3", "x4"], ALPHAS, top=3)
+    out = rounds(out, "cv_rmse", "train_rmse", "first_cv_rmse", digits=4)
+    return out.select(TYPE, F.concat_ws(",", "features").alias("features"), "cv_rmse", "train_rmse", "first_cv_rmse")
 
 
 @query("coefficient_ranking", "E6", cte("m_items", sql_long("a", "m_items", 1), *sql_linear2("o", "a_f", "x1", "x3", 5.0), """
@@ -243,10 +229,9 @@ def _(spark, d):
     return rounds(_scores(spark, d), "r2", "rmse")
 
 
-@query("fold_scores_from_gram", "L1 L8", cte("m_items", *SCORES) + f"select target_type, model, repeat, fold, {r6('r2','r2')}, {r6('rmse','rmse')} from sc where model in ('ols1', 'ridge1', 'mean')")
+@query("fold_scores_from_gram", "L1 L8", cte("m_items", *SCORES) + f"select target_type, model, repeat, fold, {r6('r2','r2')}, {r6('rmse','rmse')} from sc")
 def _(spark, d):
-    one, _t = _models(fold_columns(items(spark, d), 5, 3))
-    return rounds(gram_scores(one), "r2", "rmse")
+    return rounds(gram_scores(_models(fold_columns(items(spark, d), 5, 3))), "r2", "rmse")
 
 
 @query("score_summary", "L2", cte("m_items", *SCORES) + f"select target_type, model, {r6('mean_r2','mean_r2')}, {r6('std_r2','std_r2')}, n_folds from su")
