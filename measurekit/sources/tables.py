@@ -122,8 +122,7 @@ def attach_predictions(df: DataFrame, external: DataFrame, pred: str = PRED) ->
     A type with any uncovered row has the column nulled and ``covered`` false.
     """
     from ..dist import join_small
-    ext = external.select(ROW, F.col(pred).cast("double").alias(pred)).groupBy(ROW).agg(
-        F.first(pred).alias(pred))
+    ext = external.groupBy(ROW).agg(F.min(F.col(pred).cast("double")).alias(pred))
     joined = df.drop(pred).join(ext, ROW, "left")
     cover = joined.groupBy(TYPE).agg((F.count(pred) == F.count(F.lit(1))).alias("covered"))
     return join_small(joined, cover, TYPE).withColumn(pred, F.when(F.col("covered"), F.col(pred)))
@@ -134,13 +133,12 @@ def check_output(df: DataFrame, template: Sequence[str], scoring: DataFrame) ->
     out = df.select(F.col(template[0]).alias("id"), F.col(template[1]).alias("target"))
     per = out.groupBy("id").agg(F.count(F.lit(1)).alias("n"),
                                 F.count_if(F.col("target").isNull()).alias("nulls"))
-    want = scoring.select(F.col(ROW).alias("id"), F.lit(1).alias("wanted"))
-    # scoring ids are unique by contract, so the outer join stays one-to-one
+    want = scoring.groupBy(F.col(ROW).alias("id")).agg(F.count(F.lit(1)).alias("wanted"))
     both = per.join(want, "id", "full").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.count("wanted").alias("wanted"),
+        F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"),
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
-        F.count_if(F.col("n") > 1).alias("dup"),
+        F.count_if(F.col("n") > F.coalesce("wanted", F.lit(1))).alias("dup"),
         F.count_if(F.col("n").isNull()).alias("absent"),
         F.count_if(F.col("wanted").isNull()).alias("unknown"))
     cols_off = len(set(df.columns) ^ set(template))

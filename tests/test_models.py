@@ -1,0 +1,295 @@
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from measurekit.operators import augment, evaluate, folds, linear, prune, search, stack
+from measurekit.operators.gram import Moments
+from measurekit.operators.linear import fit_linear, gram_scores, predict_full, predict_oof
+
+FEATS = ["a", "b", "c", "flat"]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(11)
+    n = 240
+    pdf = pd.DataFrame(rng.normal(size=(n, 3)) * [1, 5, 100] + [0, 1000, -3], columns=["a", "b", "c"])
+    pdf["flat"] = 2.5
+    pdf["entity"] = rng.integers(0, 60, n).astype(str)
+    pdf["target_type"] = np.where(np.arange(n) % 3 == 0, "s", "t")
+    pdf["target"] = 3 * pdf.a - pdf.b + 0.02 * pdf.c + rng.normal(size=n) + 50
+    pdf["row_id"] = np.arange(n)
+    df = folds.fold_columns(spark.createDataFrame(pdf), 5, 2)
+    return df, df.toPandas()
+
+
+def ridge(x, y, alpha, w=None):
+    w = np.ones(len(y)) if w is None else w
+    mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    xc, yc = (x - mx) * np.sqrt(w)[:, None], (y - my) * np.sqrt(w)
+    b = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
+    return my - mx @ b, b
+
+
+def test_complement_ridge_equals_refit(data):
+    df, pdf = data
+    models = fit_linear(df, FEATS, {"r": {"kind": "ridge", "alpha": 5.0}}, repeats=2).toPandas()
+    assert len(models) == 2 * (5 + 5 + 1)
+    for m in models.itertuples():
+        side = pdf[pdf.target_type == m.target_type]
+        if m.fold >= 0:
+            side = side[side[f"fold_{m.repeat}"] != m.fold]
+        b0, b = ridge(side[["a", "b", "c"]].to_numpy(), side.target.to_numpy(), 5.0)
+        np.testing.assert_allclose(m.coefs[:3], b, rtol=1e-8, atol=1e-10)
+        assert m.coefs[3] == 0.0 and abs(m.b0 - b0) < 1e-6 and m.n_train == len(side)
+
+
+def test_oof_and_gram_scores_agree_and_ignore_layout(data):
+    df, pdf = data
+    spec = {"r": {"kind": "ridge", "alpha": 1.0, "scale": True}, "m": {"kind": "mean"}}
+    def go(d):
+        models = fit_linear(d, FEATS, spec, repeats=2)
+        p = predict_oof(d, FEATS, models, list(spec), 2, per_repeat=True)
+        return models, p
+    models, p = go(df)
+    _, p2 = go(df.repartition(9, "b"))
+    a, b = (x.select("row_id", "pred_r", "pred_m").toPandas().sort_values("row_id").to_numpy() for x in (p, p2))
+    np.testing.assert_allclose(a, b, rtol=1e-9)
+    keys = ["target_type", "model", "repeat", "fold"]
+    g = gram_scores(models).toPandas().set_index(keys).sort_index()
+    s = evaluate.fold_scores(linear.long_oof(p, list(spec), 2, ["target_type", "target"])).toPandas().set_index(keys).sort_index()
+    np.testing.assert_allclose(g[["r2", "rmse"]], s.loc[g.index, ["r2", "rmse"]], atol=1e-9)
+
+
+def test_medians_fill_gaps_per_training_side(data):
+    df, pdf = data
+    df = df.withColumn("b", F.when(F.col("row_id") % 4 == 1, None).otherwise(F.col("b")))
+    pdf = pdf.assign(b=pdf.b.where(pdf.row_id % 4 != 1))
+    models = fit_linear(df, FEATS, {"r": {"kind": "ridge", "alpha": 5.0}}, repeats=1)
+    for m in models.toPandas().itertuples():
+        side = pdf[pdf.target_type == m.target_type]
+        side = side if m.fold < 0 else side[side.fold_0 != m.fold]
+        med = side.b.median()
+        assert abs(m.fill[1] - med) < 1e-9
+        _, b = ridge(side.assign(b=side.b.fillna(med))[["a", "b", "c"]].to_numpy(), side.target.to_numpy(), 5.0)
+        np.testing.assert_allclose(m.coefs[:3], b, rtol=1e-7, atol=1e-9)
+    p = predict_full(df, FEATS, models, ["r"])
+    assert p.filter("pred_r is null").count() == 0
+
+
+def test_weighted_fit(data):
+    df, pdf = data
+    w = df.withColumn("w", F.when(F.col("row_id") % 2 == 0, 0.5).otherwise(1.0))
+    m = fit_linear(w, FEATS, {"r": {"kind": "ridge", "alpha": 2.0}}, weight="w").filter("fold = -1 and target_type = 't'").first()
+    side = pdf[pdf.target_type == "t"]
+    _, b = ridge(side[["a", "b", "c"]].to_numpy(), side.target.to_numpy(), 2.0, np.where(side.row_id % 2 == 0, .5, 1.))
+    np.testing.assert_allclose(m.coefs[:3], b, rtol=1e-8)
+
+
+def _moments(x, y):
+    z = np.column_stack([np.ones(len(y)), y, x])
+    return Moments(z.T @ z)
+
+
+def test_nonnegative_and_elastic_net_optimality():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 5)); x[:, 3] = x[:, 0] + .1 * rng.normal(size=80)
+    y = x @ [2, -3, 0.5, 1, 0] + rng.normal(size=80)
+    s = _moments(x, y)
+    w = linear.nonneg_ridge(s.cov, s.cxy, 1.0)
+    grad = s.cxy - (s.cov + np.eye(5)) @ w
+    assert (w >= 0).all() and w[1] == 0 and np.all(grad[w == 0] <= 1e-6) and np.allclose(grad[w > 0], 0, atol=1e-6)
+    n, alpha, l1 = s.n, 0.1, 0.3
+    v = linear.elastic_net(s.cov, s.cxy, n, alpha, l1)
+    g = (s.cxy - s.cov @ v) / n - alpha * (1 - l1) * v
+    assert np.allclose(g[v != 0], alpha * l1 * np.sign(v[v != 0]), atol=1e-6) and np.all(np.abs(g[v == 0]) <= alpha * l1 + 1e-8)
+
+
+def test_select_k_follows_f_statistic():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)); y = x[:, 2] * 4 + x[:, 0] + rng.normal(size=60)
+    s = _moments(x, y)
+    r = np.array([np.corrcoef(x[:, j], y)[0, 1] for j in range(4)])
+    np.testing.assert_allclose(linear.univariate_f(s), r ** 2 / (1 - r ** 2) * 58, rtol=1e-8)
+    _, b = linear._solve(s, {"kind": "ridge", "select": 2}, 0.0)
+    assert set(np.flatnonzero(b)) == {0, 2}
+    assert linear.adaptive_k(1000, 50) == 50 and linear.adaptive_k(100, 500) == 30 and linear.adaptive_k(300, 500) == 60
+
+
+def test_ridge_cv_picks_inner_fold_winner(data):
+    df, pdf = data
+    alphas = [0.01, 10.0, 1e4]
+    m = fit_linear(df, FEATS, {"cv": {"kind": "ridge_cv", "alphas": alphas}}).filter("fold = -1 and target_type = 't'").first()
+    side = pdf[pdf.target_type == "t"]
+    err = []
+    for a in alphas:
+        e = []
+        for f in range(5):
+            tr, va = side[side.fold_0 != f], side[side.fold_0 == f]
+            b0, b = ridge(tr[["a", "b", "c"]].to_numpy(), tr.target.to_numpy(), a)
+            e.append(((va.target - b0 - va[["a", "b", "c"]] @ b) ** 2).mean())
+        err.append(np.mean(e))
+    assert m.alpha == alphas[int(np.argmin(err))]
+
+
+def test_grid_refit_uses_leading_features(data):
+    df, pdf = data
+    out = search.grid_refit(df, FEATS, [1e-6, 1.0, 100.0], top=2).toPandas()
+    assert all(f == ["a", "b"] for f in out.features.map(list))
+    assert (out.cv_rmse > 0).all() and (out.train_rmse <= out.cv_rmse).all()
+
+
+def test_correlations_match_pandas_with_gaps(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.normal(size=(90, 4)), columns=list("abcd")) + 1e4
+    pdf["e"] = -pdf["a"] + 1e-3 * pdf["b"]
+    pdf["z"] = 5.0
+    for j, c in enumerate("abcd"):
+        pdf.loc[rng.random(90) < .1 * j, c] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf))
+    got = prune.correlations(df, list(pdf)).toPandas()
+    want = pdf.corr()
+    for r in got.itertuples():
+        if "z" in (r.i, r.j):
+            assert r.r is None or np.isnan(r.r)
+        else:
+            assert abs(r.r - want.loc[r.i, r.j]) < 1e-8
+    assert prune.prune(df, list(pdf)) == ["a", "b", "c", "d"]
+
+
+def test_correlation_prune_is_not_greedy(spark):
+    # b leaves because of a; c leaves because of b although b itself is gone.
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=4000)
+    b = a + .17 * rng.normal(size=4000)
+    c = b + .17 * rng.normal(size=4000)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    r = pdf.corr()
+    assert r.loc["a", "b"] > .98 and r.loc["b", "c"] > .98 and r.loc["a", "c"] < .98
+    assert prune.correlation_prune(spark.createDataFrame(pdf), ["a", "b", "c"]) == ["a"]
+
+
+def test_gates_follow_their_definitions(spark):
+    a, b = np.array([.5, .6, .55]), np.array([.56, .64, .62])
+    rows = [("t", m, 0, f, float(v)) for m, s in (("a", a), ("b", b)) for f, v in enumerate(s)]
+    s = spark.createDataFrame(rows, "target_type string, model string, repeat int, fold int, r2 double")
+    p = evaluate.gate_paired(s, "a", "b").first()
+    assert abs(p.delta - (b - a).mean()) < 1e-12 and abs(p.floor - (b - a).std()) < 1e-12 and p.accepted
+    u = evaluate.gate_unpaired(evaluate.summarize_scores(s), "a", "b").first()
+    assert abs(u.floor - max(a.std(), b.std())) < 1e-12 and u.accepted == ((b.mean() - a.mean()) > u.floor)
+    tie = spark.createDataFrame([("t", "x", .5, .1), ("t", "b", .5, .1), ("t", "c", .1, .01)], "target_type string, model string, mean_r2 double, std_r2 double")
+    assert evaluate.best_model(tie, ["x", "b", "c"]).first().model == "x"
+    assert [r.model for r in evaluate.rank_models(tie, 2).orderBy("rank").collect()] == ["b", "x"]
+    assert {r.model for r in evaluate.non_dominated(tie, ["x", "b", "c"]).collect()} == {"x", "b"}
+    w = {r.model: r.weight for r in evaluate.softmax_weights(tie, 2).collect()}
+    assert w == {"x": .5, "b": .5}
+
+
+def test_constant_validation_target_has_no_r2(spark):
+    df = spark.createDataFrame([("t", "m", 0, 0, 1.0, 1.0), ("t", "m", 0, 0, 1.0, 2.0)], "target_type string, model string, repeat int, fold int, target double, pred double")
+    assert evaluate.fold_scores(df).first().r2 is None
+
+
+def test_distinct_masks(spark):
+    df = spark.createDataFrame([(.5, "r1"), (.65, "r1"), (.8, "r1"), (.8, "r2")], "candidate double, row_id string")
+    got = sorted((r.n_rows, r.representative, r.n_same) for r in evaluate.distinct_masks(df).collect())
+    assert got == [(1, .5, 2), (2, .8, 1)]
+
+
+def test_blend_row_wise_equals_long(spark, data):
+    df, _ = data
+    models = fit_linear(df, FEATS, {"r": {"kind": "ridge", "alpha": 1.0}, "m": {"kind": "mean"}})
+    p = predict_oof(df, FEATS, models, ["r", "m"], 1, per_repeat=True)
+    w = spark.createDataFrame([("s", "r", .7), ("s", "m", .3), ("t", "r", 1.0)], "target_type string, model string, weight double")
+    long = stack.blend(linear.long_oof(p, ["r", "m"], 1, ["target_type", "row_id"]), w).toPandas().sort_values("row_id")
+    wide = stack.blend_wide(p, w, ["r", "m"]).select("row_id", "pred_blend").toPandas().sort_values("row_id")
+    np.testing.assert_allclose(long.blend, wide.pred_blend)
+
+
+def test_anchor_falls_back_on_few_rows(data):
+    df, pdf = data
+    few = df.withColumn("anchor", F.when((F.col("target_type") == "t") & F.col("row_id").isin(1, 2, 4), 1.0)
+                        .when((F.col("target_type") == "s"), F.col("target") - F.col("a")))
+    p = augment.anchor_oof(few, ["a"], {"kind": "ridge", "alpha": 0.0}).toPandas()
+    t, s = p[p.target_type == "t"], p[p.target_type == "s"]
+    np.testing.assert_allclose(t.pred_anchor, t.pred_direct)
+    np.testing.assert_allclose(s.pred_anchor, s.target, atol=1e-6)   # the residual is exactly a
+
+
+SPECS = {"r": {"kind": "ridge", "alpha": 1.0, "only": ["a", "b"]}, "q": {"kind": "ridge", "alpha": 1.0, "only": ["b", "c"]}}
+
+
+def _brute_round(tr, sc, r2, frac):
+    """Pseudo-label round of one type in NumPy, mean of the base models."""
+    cols = (["a", "b"], ["b", "c"])
+    fit = lambda d, w: [ridge(d[c].to_numpy(), d.target.to_numpy(), 1.0, w) for c in cols]
+    pred = lambda ms, d: np.column_stack([b0 + d[c].to_numpy() @ b for (b0, b), c in zip(ms, cols)])
+    p = pred(fit(tr, None), sc)
+    lo, hi = tr.target.min(), tr.target.max()
+    ok = p.std(1) < frac * tr.target.std() * np.sqrt(max(1 - r2, .01))
+    if ok.sum() < 5:
+        return p.mean(1), ok
+    lab = np.clip(p.mean(1)[ok], lo - .1 * (hi - lo), hi + .1 * (hi - lo))
+    aug = pd.concat([tr, sc[ok].assign(target=lab)])
+    w = np.r_[np.ones(len(tr)), np.full(ok.sum(), .5)]
+    return pred(fit(aug, w), sc).mean(1), ok
+
+
+@pytest.mark.parametrize("frac", [0.9, 1e-9])
+def test_pseudo_label_round_matches_brute_force(spark, data, frac):
+    df, pdf = data
+    tr, sc = df.filter("row_id % 5 <> 0"), df.filter("row_id % 5 = 0")
+    cv = spark.createDataFrame([("s", .5), ("t", .9)], "target_type string, r2 double")
+    got = augment.pseudo_label(tr, sc, ["a", "b", "c"], SPECS, None, cv, frac).toPandas().set_index("row_id")
+    for t, r2 in (("s", .5), ("t", .9)):
+        own = pdf[pdf.target_type == t]
+        want, ok = _brute_round(own[own.row_id % 5 != 0], own[own.row_id % 5 == 0], r2, frac)
+        np.testing.assert_allclose(got.loc[own[own.row_id % 5 == 0].row_id, "pred"], want, rtol=1e-7)
+        assert ok.any() == (frac > .1)
+
+
+def test_fraction_search_matches_brute_force(spark, data):
+    df, pdf = data
+    tr, sc = df.filter("row_id % 5 <> 0"), df.filter("row_id % 5 = 0")
+    cv = spark.createDataFrame([("s", .5), ("t", .9)], "target_type string, r2 double")
+    fracs = (0.3, 0.9, 1.4)
+    got = {r.target_type: r.fraction for r in augment.search_fraction(tr, sc, ["a", "b", "c"], SPECS, cv, fracs).collect()}
+    for t, r2 in (("s", .5), ("t", .9)):
+        own = pdf[pdf.target_type == t]
+        own_tr, own_sc = own[own.row_id % 5 != 0], own[own.row_id % 5 == 0]
+        lo, hi = own_tr.target.min(), own_tr.target.max()
+        cols = (["a", "b"], ["b", "c"])
+        fit = lambda d, w: [ridge(d[c].to_numpy(), d.target.to_numpy(), 1.0, w) for c in cols]
+        pred = lambda ms, d: np.column_stack([b0 + d[c].to_numpy() @ b for (b0, b), c in zip(ms, cols)])
+        sc_by = {c: [] for c in fracs}
+        for f in range(5):
+            side, va = own_tr[own_tr.fold_0 != f], own_tr[own_tr.fold_0 == f]
+            p = pred(fit(side, None), own_sc)
+            for c in fracs:
+                ok = p.std(1) < c * side.target.std() * np.sqrt(max(1 - r2, .01))
+                aug, w = side, None
+                if ok.sum() >= 5:
+                    lab = np.clip(p.mean(1)[ok], lo - .1 * (hi - lo), hi + .1 * (hi - lo))
+                    aug = pd.concat([side, own_sc[ok].assign(target=lab)])
+                    w = np.r_[np.ones(len(side)), np.full(ok.sum(), .5)]
+                q = pred(fit(aug, w), va).mean(1)
+                sc_by[c].append(1 - ((va.target - q) ** 2).sum() / ((va.target - va.target.mean()) ** 2).sum())
+        best, gain = fracs[0], 0.0
+        for c in fracs[1:]:
+            d = np.array(sc_by[c]) - np.array(sc_by[fracs[0]])
+            if d.mean() > d.std() and d.mean() > gain:
+                best, gain = c, d.mean()
+        assert got[t] == best
+
+
+def test_whole_run_predicts_every_row(spark, sf):
+    from measurekit.plans.views import items, scoring_side
+    from measurekit.plans.whole_run import Config, run
+    tr, sc = scoring_side(items(spark, sf))
+    sc = sc.unionByName(sc.limit(1).withColumn("target_type", F.lit("ZZ")).withColumn("row_id", F.lit("new")))
+    res = run(tr, sc, Config(["x1", "x2", "x3"], zoo={"r": {"kind": "ridge", "alpha": 1.0, "scale": True}, "m": {"kind": "mean"}}))
+    p = res.predictions.toPandas()
+    assert len(p) == sc.count() and set(p[p.pred.isna()].target_type) == {"ZZ"}
+    v = {r.check: r.violations for r in res.violations.collect()}
+    assert v["null_target"] == 1 and v["absent_id"] == 0 and v["duplicate_id"] == 0
