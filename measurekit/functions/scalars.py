@@ -65,19 +65,18 @@ def array_stats(c: Column) -> dict[str, Column]:
 
     One pass: the accumulator carries count, running mean and squared deviation.
     """
-    xs = F.filter(F.transform(c, finite), lambda v: v.isNotNull())
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"),
-                    F.lit(0.0).alias("sum"))
+                    F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
 
     def add(a: Column, v: Column) -> Column:
         n = a["n"] + 1.0
         mean = a["mean"] + (v - a["mean"]) / n
         return F.struct(n.alias("n"), mean.alias("mean"),
-                        (a["m2"] + (v - a["mean"]) * (v - mean)).alias("m2"),
-                        (a["sum"] + v).alias("sum"))
+                        (a["m2"] + (v - a["mean"]) * (v - mean)).alias("m2"), (a["sum"] + v).alias("sum"),
+                        F.least(a["lo"], v).alias("lo"), F.greatest(a["hi"], v).alias("hi"))
 
-    st = F.aggregate(xs, zero, add)
-    raw = {"a_max": F.array_max(xs), "a_min": F.array_min(xs), "a_mean": st["mean"],
+    st = F.aggregate(F.filter(F.transform(c, finite), lambda v: v.isNotNull()), zero, add)
+    raw = {"a_max": st["hi"], "a_min": st["lo"], "a_mean": F.when(st["n"] > 0, st["mean"]),
            "a_sum": st["sum"], "a_std": F.sqrt(F.try_divide(st["m2"], st["n"]))}
     return {k: F.coalesce(v, F.lit(0.0)) for k, v in raw.items()}
 

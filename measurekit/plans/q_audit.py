@@ -12,12 +12,12 @@ from .views import (ITEM_TYPES, daily, docs, events, items, r6, scoring_side, sq
 
 I, E, DY, DO = with_("m_items"), with_("m_events"), with_("m_daily"), with_("m_docs")
 CONSISTENT = "((y_max-y_min)/(abs(y_mean)+1e-9) < 0.01 or y_max-y_min < 1e-6)"
-COARSE = "substr(regexp_replace(lower(entity), '[^a-z0-9]+', '', 'g'), 1, 60)"
+COARSE = "substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 60)"
 
 
 def _coarse():
     from ..functions.scalars import coarse_key
-    return coarse_key(F.col(KEY), 60)
+    return coarse_key(F.col("text"), 60)
 
 
 def _exact(src):

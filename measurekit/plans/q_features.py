@@ -13,7 +13,7 @@ from ..operators.folds import fold_columns, group_kfold
 from ..operators.gram import Moments, fold_gram
 from ..operators.linear import univariate_f
 from .registry import query
-from .views import (EVENT_TYPES, ITEM_TYPES, daily, events, items, r6, scoring_side, sql_fold, sql_hash, table, with_)
+from .views import (EVENT_TYPES, ITEM_TYPES, daily, events, items, r6, scoring_side, sql_fold, sql_hash, table, wide_table, with_)
 
 I, DY = with_("m_items"), with_("m_daily")
 
@@ -85,7 +85,7 @@ v as (select b.doc_id, c.len as vlen, c.words as vwords from b join b c on c.doc
 
 
 def _variants(spark, d):
-    n = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("len"),
+    n = wide_table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("len"),
                                             F.size(words(F.col("text"))).cast("double").alias("words"))
     from ..dist import row_number_by_cell
     ranked = row_number_by_cell(n.select("doc_id", "source"), "source", F.floor(F.col("doc_id") / 65536), [F.col("doc_id")])
@@ -125,7 +125,7 @@ def _fp_query(name, n_bits, n, kind):
 select doc_id, coalesce(n, 0) as n_on, coalesce(s, 0)::bigint as bit_sum, coalesce(q, 0)::bigint as bit_sq from documents
 left join (select id as doc_id, count(*) n, sum(bit) s, sum(bit::bigint*bit) q from b group by 1) using (doc_id)""")
     def _(spark, d):
-        out = table(spark, d, "documents").select("doc_id", fingerprint(F.col("text"), n_bits, n, kind).alias("bits"))
+        out = wide_table(spark, d, "documents").select("doc_id", fingerprint(F.col("text"), n_bits, n, kind).alias("bits"))
         lng = F.col("bits").cast("array<bigint>")
         add = lambda a, v: a + v
         return out.select("doc_id", F.size("bits").cast("bigint").alias("n_on"),
@@ -148,7 +148,7 @@ t as (select qid, sim, row_number() over (partition by qid order by sim desc, ri
 select d.doc_id, round(max(sim), 6) as sim_max, round(avg(sim), 6) as sim_mean from documents d left join t on t.qid = d.doc_id and k <= 7 group by 1""")
 def _(spark, d):
     bits = fingerprint(F.col("text"), 1024, 2)
-    docs = table(spark, d, "documents").select("doc_id", bits.alias("bits"))
+    docs = wide_table(spark, d, "documents").select("doc_id", bits.alias("bits"))
     ref = table(spark, d, "benchmark").select("item_id", bits.alias("bits"))
     return similarity.density(docs, "doc_id", "bits", ref, "item_id", "bits", 1024).select(
         "doc_id", rounded(F.col("sim_max")).alias("sim_max"), rounded(F.col("sim_mean")).alias("sim_mean"))
@@ -211,13 +211,13 @@ t as (select doc_id, w, i, w[i] as u, case when i < len(w) then w[i]||' '||w[i+1
 k as (select doc_id, count(u) + count(p) as n_tokens, string_agg(u||coalesce('/'||p, ''), '/' order by i) as s from t group by 1)
 select doc_id, coalesce(n_tokens, 0) as n_tokens, md5(coalesce(s, '')) as sentence_md5 from documents left join k using (doc_id)""")
 def _(spark, d):
-    s = table(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
+    s = wide_table(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("bigint").alias("n_tokens"), F.md5(F.concat_ws("/", "s")).alias("sentence_md5"))
 
 
 @query("text_embedding", "G9")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide_table(spark, d, "documents").select("doc_id", "text")
     vectors = embed.train_embedding(docs, dim=16, window=5, epochs=1)
     out = embed.embed(docs, "doc_id", "text", vectors, 16)
     norm = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda a, v: a + v * v))

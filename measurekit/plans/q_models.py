@@ -58,7 +58,8 @@ def _long(spark, d, repeats=3):
 
 
 def _scores(spark, d):
-    return evaluate.fold_scores(_long(spark, d))
+    """Fold scores from the held-out Grams: no row is predicted to score a linear model."""
+    return gram_scores(_models(fold_columns(items(spark, d).select(KEY, TYPE, Y, "x1", "x3"), 5, 3)))
 
 
 def _summary(spark, d):
@@ -70,9 +71,8 @@ def _summary(spark, d):
 s as (select target_type, repeat, fold, {R2} as r2 from p group by all), u as (select target_type, avg(r2) m, stddev_pop(r2) s from s group by 1)
 select target_type, {r6('m', 'mean_r2')}, {r6('s', 'std_r2')}, {r6('avg(m) over ()', 'headline')} from u""")
 def _(spark, d):
-    m = fold_columns(items(spark, d).select(ROW, KEY, TYPE, Y, "x1"), 5, 1)
-    p = predict_oof(m, ["x1"], fit_linear(m, ["x1"], {"ols1": OLS}), ["ols1"], per_repeat=True)
-    s = evaluate.summarize_scores(evaluate.fold_scores(long_oof(p, ["ols1"], 1, [TYPE, Y])))
+    m = fold_columns(items(spark, d).select(KEY, TYPE, Y, "x1"), 5, 1)
+    s = evaluate.summarize_scores(gram_scores(fit_linear(m, ["x1"], {"ols1": OLS})))
     head = evaluate.mean_r2(s).select(MODEL, F.col("mean_r2").alias("headline"))
     return rounds(s.join(head, MODEL), "mean_r2", "std_r2", "headline").select(TYPE, "mean_r2", "std_r2", "headline")
 
@@ -226,7 +226,7 @@ def _(spark, d):
 
 @query("fold_scores", "L1", cte("m_items", *SCORES) + f"select target_type, model, repeat, fold, n, {r6('r2','r2')}, {r6('rmse','rmse')} from sc")
 def _(spark, d):
-    return rounds(_scores(spark, d), "r2", "rmse")
+    return rounds(evaluate.fold_scores(_long(spark, d)), "r2", "rmse")
 
 
 @query("fold_scores_from_gram", "L1 L8", cte("m_items", *SCORES) + f"select target_type, model, repeat, fold, {r6('r2','r2')}, {r6('rmse','rmse')} from sc")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import KEY, ROW, TYPE, Y
 from ..functions.hashing import md5_number
+from ..sources.tables import spread
 
 ITEM_TYPES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 EVENT_TYPES = ["click", "error", "purchase", "scroll", "view"]
@@ -16,10 +17,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+SPREAD = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+                       "l_returnflag", "l_linestatus"]}
+
+
+def wide_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The same, dealt out over all cores when the file is small; for compute-heavy use."""
+    df = table(spark, d, name)
+    return spread(df.select(*SPREAD[name]) if name in SPREAD else df)
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Line items with a planted target: x1..x3 act linearly, the key has its own effect."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    j = table(spark, d, "lineitem").join(part, "l_partkey")
+    j = wide_table(spark, d, "lineitem").join(part, "l_partkey")
     ids = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     noise = F.pmod(md5_number(F.concat_ws(":", *ids[:3])), F.lit(1000)) / 50.0
     y = (2 * F.col("l_quantity") - 100 * F.col("l_discount") + 0.5 * F.col("p_size")
@@ -47,10 +58,13 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a measurement table of their length."""
-    return table(spark, d, "documents").select(
-        F.col("doc_id").alias(ROW), F.col("text").alias(KEY), F.col("lang").alias(TYPE),
-        F.col("n_chars").cast("double").alias(Y), "source")
+    """Documents as a measurement table of their length.
+
+    The key is a digest of the whole text, so that grouping shuffles 32 characters a row.
+    """
+    return wide_table(spark, d, "documents").select(
+        F.col("doc_id").alias(ROW), F.md5("text").alias(KEY), F.col("lang").alias(TYPE),
+        F.col("n_chars").cast("double").alias(Y), "source", "text")
 
 
 def scoring_side(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +101,7 @@ SQL: dict[str, str] = {
   select event_id as row_id, user_id||'|'||strftime(ts, '%Y-%m-%d') as entity, event_type as target_type,
     value as target from events)""",
     "m_docs": """m_docs as (
-  select doc_id as row_id, text as entity, lang as target_type, n_chars::double as target, source from documents)""",
+  select doc_id as row_id, md5(text) as entity, lang as target_type, n_chars::double as target, source, text from documents)""",
 }
 
 
