@@ -175,8 +175,8 @@ m as (select qid, avg(dist) as md from t where k <= 20 group by 1), th as (selec
 select qid::varchar as qid, round(md, 6) as mean_distance, md > x as sparse from m, th""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    m = similarity.mean_neighbour_distance(
-        similarity.neighbours(e, "vec_id", "embedding", e, "vec_id", "embedding", 20, exclude_self=True))
+    m = similarity.neighbour_density(e, "vec_id", "embedding", e, "vec_id", "embedding", 20, exclude_self=True)
+    m = m.select(F.col("vec_id").cast("string").alias("qid"), "mean_distance")
     from ..operators.audit import percentile_threshold
     th = percentile_threshold(m.withColumn("_all", F.lit(1)), "_all", "mean_distance", 0.9).first()["threshold"]
     return m.select("qid", rounded(F.col("mean_distance")).alias("mean_distance"), (F.col("mean_distance") > F.lit(th)).alias("sparse"))
@@ -202,7 +202,7 @@ def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"),
                                              (F.col("label") % 2).cast("string").alias(TYPE), F.col("label").cast("double").alias(Y))
     out = similarity.knn_regression(group_kfold(e, key="vec_id"), "vec_id", "vec", 10)
-    return out.select("vec_id", rounded(F.col("pred")).alias("pred"))
+    return out.select(F.col("vec_id").cast("string").alias("vec_id"), rounded(F.col("pred")).alias("pred"))
 
 
 @query("interleaved_sentences", "G8", """
