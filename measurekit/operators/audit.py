@@ -17,15 +17,23 @@ def is_consistent(lo: Column, hi: Column, mean: Column, rel: float = 0.01, abs_:
     return ((hi - lo) / (F.abs(mean) + 1e-9) < rel) | (hi - lo < abs_)
 
 
-def _spread(df: DataFrame) -> list[Column]:
-    return [F.count(F.lit(1)).alias("n_rows"), F.min(Y).alias("y_min"), F.max(Y).alias("y_max"),
-            F.avg(Y).alias("y_mean")]
+def _per_key(df: DataFrame, coarse: Column | None = None) -> DataFrame:
+    """One row per (type, coarse key, exact key): what every duplicate audit starts from."""
+    df = df if coarse is None else df.withColumn("coarse", coarse)
+    return df.groupBy(TYPE, *([] if coarse is None else ["coarse"]), KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min(Y).alias("lo"), F.max(Y).alias("hi"), F.sum(Y).alias("s"), F.count(Y).alias("ny"))
+
+
+def _groups(per_key: DataFrame, by: str, at_least: str, rel: float, abs_: float) -> DataFrame:
+    g = per_key.groupBy(TYPE, by).agg(
+        F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_rows"), F.min("lo").alias("y_min"),
+        F.max("hi").alias("y_max"), F.try_divide(F.sum("s"), F.sum("ny")).alias("y_mean")).filter(f"{at_least} > 1")
+    return g.withColumn("consistent", is_consistent(F.col("y_min"), F.col("y_max"), F.col("y_mean"), rel, abs_))
 
 
 def exact_duplicates(df: DataFrame, rel: float = 0.01, abs_: float = 1e-6) -> DataFrame:
     """(type, key) groups of more than one row, with their agreement."""
-    g = df.groupBy(TYPE, KEY).agg(*_spread(df)).filter("n_rows > 1")
-    return g.withColumn("consistent", is_consistent(F.col("y_min"), F.col("y_max"), F.col("y_mean"), rel, abs_))
+    return _groups(_per_key(df), KEY, "n_rows", rel, abs_).drop("n_variants")
 
 
 def near_duplicates(df: DataFrame, coarse: Column, rel: float = 0.01, abs_: float = 1e-6) -> DataFrame:
@@ -34,13 +42,7 @@ def near_duplicates(df: DataFrame, coarse: Column, rel: float = 0.01, abs_: floa
     Rows are pre-aggregated per exact key, so a hot coarse key costs one row per
     distinct exact key.
     """
-    per_key = df.withColumn("coarse", coarse).filter(F.col("coarse").isNotNull()).groupBy(
-        TYPE, "coarse", KEY).agg(F.count(F.lit(1)).alias("n"), F.min(Y).alias("lo"),
-                                 F.max(Y).alias("hi"), F.sum(Y).alias("s"), F.count(Y).alias("ny"))
-    g = per_key.groupBy(TYPE, "coarse").agg(
-        F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("n_rows"), F.min("lo").alias("y_min"),
-        F.max("hi").alias("y_max"), F.try_divide(F.sum("s"), F.sum("ny")).alias("y_mean")).filter("n_variants > 1")
-    return g.withColumn("consistent", is_consistent(F.col("y_min"), F.col("y_max"), F.col("y_mean"), rel, abs_))
+    return _groups(_per_key(df, coarse), "coarse", "n_variants", rel, abs_).filter(F.col("coarse").isNotNull())
 
 
 def _group_totals(groups: DataFrame, prefix: str) -> DataFrame:
@@ -52,9 +54,10 @@ def _group_totals(groups: DataFrame, prefix: str) -> DataFrame:
 
 def duplicate_report(df: DataFrame, coarse: Column) -> DataFrame:
     """Exact and near duplicate counts per type plus a grand total row (type null)."""
-    sizes = df.groupBy(TYPE).agg(F.count(F.lit(1)).alias("n"))
-    exact = _group_totals(exact_duplicates(df), "exact")
-    near = _group_totals(near_duplicates(df, coarse), "near")
+    per_key = _per_key(df, coarse)       # one shuffle of the rows, reused by all three branches
+    sizes = per_key.groupBy(TYPE).agg(F.sum("n").alias("n"))
+    exact = _group_totals(_groups(per_key, KEY, "n_rows", 0.01, 1e-6), "exact")
+    near = _group_totals(_groups(per_key, "coarse", "n_variants", 0.01, 1e-6).filter(F.col("coarse").isNotNull()), "near")
     joined = sizes.join(exact, TYPE, "left").join(near, TYPE, "left").na.fill(0)
     counts = [c for c in joined.columns if c != TYPE]
     return joined.rollup(TYPE).agg(*[F.sum(c).alias(c) for c in counts])

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, MODEL, PRED, REPEAT, ROW, TYPE, Y
 from ..dist import join_small
 from .evaluate import gate_paired, gate_unpaired, nested_score, summarize_scores
-from .folds import fold_columns
-from .linear import fit_linear, gram_scores, long_oof, predict_full, predict_oof
+from ..session import cut
+from .folds import fold_columns, fold_names
+from .gram import CHUNK, Gram, fold_gram, train_medians
+from .linear import fit_linear, gram_scores, predict_oof, settled_models, solve
 
 META_ALPHA = 1.0
 STACK = {"stack": {"kind": "ridge", "alpha": META_ALPHA}}
@@ -24,6 +28,51 @@ def stack(oof: DataFrame, columns: Sequence[str], repeats: int = 1, k: int = 5,
     return fit_linear(oof, columns, specs or STACK, repeats=repeats, k=k)
 
 
+def stacked_gram(gram: Gram, models: DataFrame, names: Sequence[str]) -> Gram:
+    """Gram of the out-of-fold predictions, from the Gram of the features.
+
+    A row of fold ``f`` is predicted by fixed coefficients, so its predictions are
+    linear in its features and their moments are ``L' M_f L``: the stack is fitted and
+    scored without predicting, or reading, a single row.
+    """
+    by, names = gram.by, list(names)
+    at = [gram.features.index(c) for c in gram.missing]
+    shift, p, width = np.array(gram.shift), len(gram.features), gram.width
+    keys = [*by, REPEAT, FOLD]
+
+    def project(m: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if m.empty or fits.empty:
+            return pd.DataFrame({c: [] for c in [*keys, "chunk", "m"]})
+        mat = np.concatenate(m.sort_values("chunk")["m"].tolist()).reshape(width, width)
+        fits = fits.set_index(MODEL)
+        el = np.zeros((width, 2 + len(names)))
+        el[0, 0] = el[1, 1] = 1.0
+        for i, n in enumerate(names):
+            b, fill = np.asarray(fits.at[n, "coefs"], dtype=float), np.asarray(fits.at[n, "fill"], dtype=float)
+            el[0, 2 + i] = fits.at[n, "b0"] + b @ shift[1:] - shift[0]
+            el[2:2 + p, 2 + i] = b
+            el[2 + p:, 2 + i] = b[at] * (fill[at] - shift[1:][at])
+        flat = (el.T @ mat @ el).ravel()
+        cut_at = range(0, flat.size, CHUNK)
+        return pd.DataFrame({**{c: [m[c].iloc[0]] * len(cut_at) for c in keys}, "chunk": range(len(cut_at)),
+                             "m": [flat[s:s + CHUNK] for s in cut_at]})
+
+    held = models.filter((F.col(FOLD) >= 0) & F.col(MODEL).isin(names)).select(*keys, MODEL, "b0", "coefs", "fill")
+    table = gram.table.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(project, gram.table.schema)
+    return Gram(table, by, [f"pred_{n}" for n in names], [], [gram.shift[0]] * (1 + len(names)))
+
+
+def stack_linear(df: DataFrame, features: Sequence[str], specs: Mapping[str, Mapping], repeats: int = 1, k: int = 5,
+                 metas: Mapping[str, Mapping] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Base model table and meta-learner model table from one Gram pass over the rows."""
+    folds = fold_names(repeats)
+    gram = fold_gram(df, features, TYPE, folds)
+    gram.table = cut(gram.table)
+    models = settled_models(solve(gram, specs, train_medians(df, gram, folds, k)), len(features))
+    meta = solve(stacked_gram(gram, models, list(specs)), metas or STACK)
+    return models, settled_models(meta, len(specs))
+
+
 def stack_scores(oof: DataFrame, columns: Sequence[str], repeats: int = 1, k: int = 5) -> DataFrame:
     return gram_scores(stack(oof, columns, repeats, k))
 

@@ -8,11 +8,11 @@ from ..columns import FOLD, KEY, MODEL, PRED, REPEAT, ROW, TYPE, Y
 from ..functions.scalars import rounded
 from ..operators import augment, evaluate, lookup, stack, trees
 from ..operators.folds import fold_columns
-from ..operators.linear import fit_linear, long_oof, predict_full, predict_oof
+from ..operators.linear import fit_linear, gram_scores, long_oof, predict_full, predict_oof
 from .q_features import _cross_sql, cross_items
 from .q_models import MEAN, OLS, RIDGE, _WEIGHTS, SCORES, _long, _summary, cte, rounds
 from .registry import query
-from .views import (ITEM_TYPES, R2, items, r6, scoring_side, sql_fold, sql_hash, sql_linear, sql_linear2, sql_long,
+from .views import (ITEM_TYPES, R2, RMSE, items, r6, scoring_side, sql_fold, sql_hash, sql_linear, sql_linear2, sql_long,
                     sql_pred, with_)
 
 BASE = {"ols1": {**OLS, "only": ["x1"]}, "ols3": {**OLS, "only": ["x3"]}}
@@ -53,13 +53,20 @@ def _(spark, d):
 
 @query("stack_coefficients", "L12", cte("m_items", *STACKED) + f"select target_type, fold, {r6('b0','b0')}, {r6('b1','w_ols1')}, {r6('b2','w_ols3')} from st_c")
 def _(spark, d):
-    s = stack.stack(_matrix(spark, d), COLS)
+    m = fold_columns(items(spark, d).select(KEY, TYPE, Y, *FEATS), 5, 1)
+    _base, s = stack.stack_linear(m, FEATS, BASE)
     return rounds(s.select(TYPE, FOLD, "b0", F.col("coefs")[0].alias("w_ols1"), F.col("coefs")[1].alias("w_ols3")), "b0", "w_ols1", "w_ols3")
 
 
 @query("stack_fold_scores", "L12 L1", cte("m_items", *STACKED) + f"select target_type, fold, {r6(R2,'r2')} from sp group by all")
 def _(spark, d):
-    return rounds(stack.stack_scores(_matrix(spark, d), COLS).select(TYPE, FOLD, "r2"), "r2")
+    m = fold_columns(items(spark, d).select(KEY, TYPE, Y, *FEATS), 5, 1)
+    return rounds(gram_scores(stack.stack_linear(m, FEATS, BASE)[1]).select(TYPE, FOLD, "r2"), "r2")
+
+
+@query("stack_rmse_from_rows", "L12 L9", cte("m_items", *STACKED) + f"select target_type, fold, {r6(RMSE,'rmse')} from sp group by all")
+def _(spark, d):
+    return rounds(stack.stack_scores(_matrix(spark, d), COLS).select(TYPE, FOLD, "rmse"), "rmse")
 
 
 @query("nested_stack_score", "L13", cte("m_items", *STACKED) + f"select target_type, count(*) as n, {r6(R2,'r2')} from sp group by 1")
@@ -205,21 +212,24 @@ def _(spark, d):
 
 def _pseudo_setup(spark, d):
     tr, sc = scoring_side(items(spark, d).select(ROW, KEY, TYPE, Y, *FEATS, "supp"))
-    m, models = stack.oof_matrix(fold_columns(tr, 5, 1), FEATS, BASE)
-    meta = stack.stack(m, COLS)
-    cv = stack.nested_stack_score(m, COLS)
-    return tr, sc, models, meta, cv
+    rows = fold_columns(tr, 5, 1)
+    models, meta = stack.stack_linear(rows, FEATS, BASE)
+    oof = predict_oof(predict_oof(rows, FEATS, models, list(BASE)), COLS, meta, ["stack"])
+    return tr, sc, models, meta, evaluate.nested_score(oof, "pred_stack")
 
 
-@query("pseudo_label_selection", "L25 D16 F1", cte("m_items", *_TRAIN_MATRIX, """
+_PSEUDO = [*_TRAIN_MATRIX, """
 sp as (select m.*, c.b0 + c.b1*p1 + c.b2*p2 as pred from m join st_c c using (target_type, repeat, fold))""", f"""
 cv as (select target_type, {R2} as r2 from sp group by 1)""", """
 lim as (select target_type, stddev_samp(target) as sd, min(target) - 0.1*(max(target)-min(target)) lo, max(target) + 0.1*(max(target)-min(target)) hi from tr group by 1)""", """
-fp as (select t.row_id, t.target_type, c1.b0 + c1.b*x1 as p1, c3.b0 + c3.b*x3 as p2 from m_items t join o1_c c1 using (target_type) join o3_c c3 using (target_type)
+fp as (select t.row_id, t.target_type, t.x1, t.x3, c1.b0 + c1.b*x1 as p1, c3.b0 + c3.b*x3 as p2 from m_items t join o1_c c1 using (target_type) join o3_c c3 using (target_type)
   where supp % 10 = 0 and c1.fold = -1 and c3.fold = -1)""", """
 ok as (select fp.*, c.b0 + c.b1*p1 + c.b2*p2 as first, lo, hi from fp join st_c c using (target_type) join cv using (target_type) join lim using (target_type)
-  where c.fold = -1 and abs(p1-p2)/2 < 0.5*sd*sqrt(greatest(1-r2, 0.01)))""") + f"""
-select row_id, target_type, {r6('greatest(lo, least(hi, first))', 'pseudo')} from ok where target_type in (select target_type from ok group by 1 having count(*) >= 5)""")
+  where c.fold = -1 and abs(p1-p2)/2 < 0.5*sd*sqrt(greatest(1-r2, 0.01)))""", """
+pl as (select *, greatest(lo, least(hi, first)) as pseudo from ok where target_type in (select target_type from ok group by 1 having count(*) >= 5))"""]
+
+
+@query("pseudo_label_selection", "L25 D16 F1", cte("m_items", *_PSEUDO) + f"select row_id, target_type, {r6('pseudo', 'pseudo')} from pl")
 def _(spark, d):
     tr, sc, models, meta, cv = _pseudo_setup(spark, d)
     scored = stack.row_spread_wide(predict_full(sc, FEATS, models, list(BASE)), COLS)
@@ -227,11 +237,17 @@ def _(spark, d):
     return rounds(augment.select_confident(scored, tr, cv).select(ROW, TYPE, "pseudo"), "pseudo")
 
 
-@query("pseudo_label_round", "L25 L11")
+@query("pseudo_label_round", "L25 L11", cte("m_items", *_PSEUDO, """
+pool as (select target_type, x1, x3, target, 1.0::double as w, 0 as repeat, 0 as fold from tr
+  union all select target_type, x1, x3, pseudo, 0.5::double, 0, 0 from pl)""", *sql_linear("q1", "pool", "x1", weight="w"),
+  *sql_linear("q3", "pool", "x3", weight="w")) + f"""
+select row_id, {r6('c.b0 + c.b1*p1 + c.b2*p2', 'first_pass')}, {r6('c.b0 + c.b1*(q1_c.b0 + q1_c.b*x1) + c.b2*(q3_c.b0 + q3_c.b*x3)', 'pred')}
+from fp join st_c c using (target_type) join q1_c using (target_type) join q3_c using (target_type)
+where c.fold = -1 and q1_c.fold = -1 and q3_c.fold = -1""")
 def _(spark, d):
     tr, sc, _m, meta, cv = _pseudo_setup(spark, d)
     out = augment.pseudo_label(tr, sc, FEATS, BASE, meta, cv)
-    return out.groupBy(TYPE).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("first_pass"), 4).alias("first_pass"), rounded(F.avg("pred"), 4).alias("pred"))
+    return rounds(out.select(ROW, "first_pass", "pred"), "first_pass", "pred")
 
 
 @query("pseudo_label_two_rounds", "L25c")

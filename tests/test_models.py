@@ -293,3 +293,15 @@ def test_whole_run_predicts_every_row(spark, sf):
     assert len(p) == sc.count() and set(p[p.pred.isna()].target_type) == {"ZZ"}
     v = {r.check: r.violations for r in res.violations.collect()}
     assert v["null_target"] == 1 and v["absent_id"] == 0 and v["duplicate_id"] == 0
+
+
+def test_stack_from_grams_equals_stack_from_rows(data):
+    df, _ = data
+    df = df.withColumn("c", F.when(F.col("row_id") % 7 == 2, None).otherwise(F.col("c")))
+    specs = {"r": {"kind": "ridge", "alpha": 1.0, "only": ["a", "c"]}, "q": {"kind": "ridge", "alpha": 3.0, "only": ["b", "c"]}}
+    models, meta = stack.stack_linear(df, FEATS, specs)
+    rows = stack.stack(stack.oof_matrix(df, FEATS, specs)[0], ["pred_r", "pred_q"])
+    key = ["target_type", "fold"]
+    a, b = (x.toPandas().set_index(key).sort_index() for x in (meta, rows))
+    np.testing.assert_allclose(np.stack(a.coefs), np.stack(b.coefs), rtol=1e-7)
+    np.testing.assert_allclose(a[["b0", "val_sse", "n_train"]].astype(float), b[["b0", "val_sse", "n_train"]].astype(float), rtol=1e-6, atol=1e-8)
