@@ -12,20 +12,18 @@ from pyspark.sql import types as T
 from ..columns import KEY, PRED, ROW, TYPE, Y
 from ..functions.scalars import finite
 
+SPREAD_BELOW = 1 << 30
 CODE_VERSION = "1"   # part of every materialisation key; raise when feature code changes
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly when the input is too small to occupy every core by itself.
 
-    A file with one row group is one task however many cores wait. Inputs with at
-    least one full-sized split per core are left alone: no shuffle at scale.
+    A file with one row group is one task however many cores wait. Inputs of more
+    than ``SPREAD_BELOW`` bytes have splits enough and are left alone: no shuffle at scale.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * int(split) else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
