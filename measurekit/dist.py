@@ -133,7 +133,8 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: Sequence[float],
     rest = _builtin_quantiles(flagged.filter(F.col("_n").isNull()).drop("_n"), by, value, probs)
     wide = reduce(
         lambda a, b: a.join(b, by),
-        [_narrowed(flagged.filter(F.col("_n").isNotNull()), by, value, p, group_rows)
+        [order_statistics(flagged.filter(F.col("_n").isNotNull()).drop("_n"), by, value,
+                          hot.select(*by, ((F.col("_n") - 1) * p).alias("_rank")), group_rows)
          .withColumnRenamed("_q", f"q{i}") for i, p in enumerate(probs)])
     return rest.unionByName(wide)
 
@@ -143,20 +144,20 @@ def _builtin_quantiles(df, by, value, probs):
         F.percentile(value, F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
 
 
-def _narrowed(df: DataFrame, by: list[str], value: str, p: float, group_rows: int) -> DataFrame:
-    """Order statistics around rank ``(n-1)p`` of each group, by closing in on them.
+def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: DataFrame,
+                     group_rows: int = EXACT_GROUP_ROWS) -> DataFrame:
+    """``_q``: the value at the 0-based, possibly fractional rank ``_rank`` of each group of ``ranks``.
 
-    Each round takes approximate quantiles of the current bracket to propose a
-    tighter one and counts exactly what lies below it; a proposal that misses the
-    rank is refused, so approximation affects speed only. Every round is an aggregate
-    combined on the map side: no round shuffles the rows.
+    Groups above ``group_rows`` are closed in on first. Each round takes approximate
+    quantiles of the current bracket to propose a tighter one and counts exactly what
+    lies below it; a proposal that misses the rank is refused, so approximation affects
+    speed only. Every round is an aggregate combined on the map side: no round shuffles
+    the rows.
     """
     x = F.col(value)
-    state = settled(df.groupBy(*by).agg(
-        F.first("_n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).select(
-        *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"),
-        ((F.col("_n") - 1) * p).alias("_rank")))
-    rows = df.drop("_n")
+    state = settled(rows.groupBy(*by).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_in")).join(ranks, by).select(
+        *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_in", "_rank"))
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
     left = None
     for _ in range(12):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import FOLD, REPEAT, Y
-from ..dist import as_list, exact_quantiles
+from ..dist import as_list, join_small, order_statistics
 
 CHUNK = 4096
 FLUSH_BYTES = 256 << 20
@@ -114,26 +114,70 @@ def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, targe
     """Exact training-side medians ``{(by.., repeat, fold): [per missing feature]}``.
 
     Fold -1 of repeat 0 is the median over all rows. Only features with nulls are read.
+    All sides of a type have their medians close together, so only rows in a narrow
+    bracket around the type's median are copied to the sides; exact counts below the
+    bracket give the rank wanted inside it. If a rank falls outside, the bracket widens.
     """
     if not gram.missing:
         return {}
-    sides = F.array(*[
-        F.struct(F.lit(r).alias(REPEAT), F.lit(f).alias(FOLD), F.lit(f"fold_{r}" if f >= 0 else "").alias("c"))
-        for r in range(len(folds)) for f in [-1, *range(k)] if f >= 0 or r == 0])
-    held = F.coalesce(*[F.when(F.col("s")[REPEAT] == r, F.col(c)) for r, c in enumerate(folds)])
-    cells = F.array(*[F.struct(F.lit(i).alias("j"), F.col(c).cast("double").alias("x"))
-                      for i, c in enumerate(gram.missing)])
-    long = (df.filter(F.col(target).isNotNull()).withColumn("s", F.explode(sides))
-            .filter(held != F.col("s")[FOLD])
-            .select(*gram.by, F.col("s")[REPEAT].alias(REPEAT), F.col("s")[FOLD].alias(FOLD), F.explode(cells).alias("v"))
-            .select(*gram.by, REPEAT, FOLD, "v.*"))
-    rows = exact_quantiles(long, [*gram.by, REPEAT, FOLD, "j"], "x", [0.5]).limit(MAX_MEDIANS + 1).collect()
-    if len(rows) > MAX_MEDIANS:
-        raise ValueError("too many (type, fold, feature) medians for the driver")
+    by, side = gram.by, [*gram.by, REPEAT, FOLD, "j"]
+    cols = {j: F.col(c).cast("double") for j, c in enumerate(gram.missing)}
+    rows = df.filter(F.col(target).isNotNull()).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
+    for half in (0.02, 0.15, None):
+        if half is None:
+            held = rows.withColumns({f"_b{j}": F.array(F.lit(float("-inf")), F.lit(float("inf"))) for j in cols})
+        else:
+            probs = F.array(F.lit(0.5 - half), F.lit(0.5 + half))
+            held = join_small(rows, rows.groupBy(*by).agg(
+                *[F.percentile_approx(f"_x{j}", probs, 10_000).alias(f"_b{j}") for j in cols]), by)
+        ranks = _side_ranks(held, by, folds, list(cols), k)
+        if ranks["ok"].all():
+            break
+    ranks = ranks[ranks["n"] > 0]
+    if ranks.empty:
+        return {}
+    wanted = df.sparkSession.createDataFrame(
+        [tuple(v) for v in ranks[[*side, "rank"]].itertuples(index=False)],
+        T.StructType([*[df.schema[b] for b in by], *[T.StructField(c, T.IntegerType()) for c in side[len(by):]],
+                      T.StructField("_rank", T.DoubleType())]))
+    sides = F.array(*[F.struct(F.lit(r).alias(REPEAT), F.lit(f).alias(FOLD))
+                      for r in range(len(folds)) for f in [-1, *range(k)] if f >= 0 or r == 0])
+    own = F.coalesce(*[F.when(F.col("s")[REPEAT] == r, F.col(c)) for r, c in enumerate(folds)])
+    near = F.filter(F.array(*[
+        F.when((F.col(f"_x{j}") >= F.col(f"_b{j}")[0]) & (F.col(f"_x{j}") <= F.col(f"_b{j}")[1]),
+               F.struct(F.lit(j).alias("j"), F.col(f"_x{j}").alias("x"))) for j in cols]), lambda v: v.isNotNull())
+    long = (held.select(*by, *folds, F.explode(near).alias("v")).withColumn("s", F.explode(sides))
+            .filter(own != F.col("s")[FOLD])
+            .select(*by, F.col("s")[REPEAT].alias(REPEAT), F.col("s")[FOLD].alias(FOLD), "v.*"))
     out: dict = {}
-    for row in rows:
-        key = (*[row[b] for b in gram.by], row[REPEAT], row[FOLD])
-        out.setdefault(key, [0.0] * len(gram.missing))[row["j"]] = row["q0"]
+    for row in order_statistics(long, side, "x", wanted).collect():
+        key = (*[row[b] for b in by], row[REPEAT], row[FOLD])
+        out.setdefault(key, [0.0] * len(gram.missing))[row["j"]] = row["_q"]
+    return out
+
+
+def _side_ranks(held: DataFrame, by: list[str], folds: Sequence[str], js: list[int], k: int) -> pd.DataFrame:
+    """Per training side and feature: rows ``n``, wanted rank inside the bracket, and whether it lies there."""
+    pairs = F.array(*[F.struct(F.lit(r).alias(REPEAT), F.col(c).alias(FOLD)) for r, c in enumerate(folds)])
+    x, lo, hi = (lambda j: F.col(f"_x{j}")), (lambda j: F.col(f"_b{j}")[0]), (lambda j: F.col(f"_b{j}")[1])
+    counts = held.withColumn("_rf", F.explode(pairs)).groupBy(
+        *by, F.col("_rf")[REPEAT].alias(REPEAT), F.col("_rf")[FOLD].alias(FOLD)).agg(
+        *[F.count(x(j)).alias(f"n{j}") for j in js], *[F.count_if(x(j) < lo(j)).alias(f"b{j}") for j in js],
+        *[F.count_if((x(j) >= lo(j)) & (x(j) <= hi(j))).alias(f"i{j}") for j in js])
+    got = counts.limit(MAX_MEDIANS // len(js) + 1).toPandas()
+    if len(got) * len(js) > MAX_MEDIANS:
+        raise ValueError("too many (type, fold, feature) medians for the driver")
+    long = pd.concat([got[[*by, REPEAT, FOLD]].assign(j=j, n=got[f"n{j}"], below=got[f"b{j}"], inside=got[f"i{j}"]) for j in js])
+    sums = ["n", "below", "inside"]
+    total = long.groupby([*by, REPEAT, "j"], dropna=False)[sums].sum().reset_index()
+    every = total[[*by, REPEAT, "j"]].merge(pd.DataFrame({FOLD: range(k)}), how="cross")
+    part = every.merge(long, how="left", on=[*by, REPEAT, FOLD, "j"]).fillna({c: 0 for c in sums})
+    part = part.merge(total, on=[*by, REPEAT, "j"], suffixes=("", "_all"))
+    for c in sums:
+        part[c] = part[c + "_all"] - part[c]
+    out = pd.concat([part[[*by, REPEAT, FOLD, "j", *sums]], total[total[REPEAT] == 0].assign(**{FOLD: -1})], ignore_index=True)
+    out["rank"] = (out["n"] - 1) / 2.0 - out["below"]
+    out["ok"] = (out["n"] == 0) | ((out["rank"] >= 0) & (np.ceil(out["rank"]) <= out["inside"] - 1))
     return out
 
 
