@@ -105,10 +105,10 @@ def test_sources(spark, tmp_path):
         f.write("id,name,kind,val\n1,x,a,2.5\n2,y,b,NaN\n")
     m = tables.read_measurements(spark, p, {"row_id": "id", "entity": "name", "target_type": "kind", "target": "val"}, "id long, name string, kind string, val double")
     assert [tuple(r) for r in m.orderBy("row_id").collect()] == [(1, "x", "a", 2.5), (2, "y", "b", None)]
-    assert tables.resolve_column([" Other ", "my_SMILES"], "SMILES", "smiles") == "my_SMILES"
-    assert tables.resolve_column(["smiles_x", " SMILES "], "SMILES", "smiles") == " SMILES "
+    assert tables.resolve_column([" Other ", "my_NAME"], "NAME", "name") == "my_NAME"
+    assert tables.resolve_column(["name_x", " NAME "], "NAME", "name") == " NAME "
     with pytest.raises(ValueError):
-        tables.resolve_column(["a", "b"], "SMILES", "smiles")
+        tables.resolve_column(["a", "b"], "NAME", "name")
     with pytest.raises(FileNotFoundError):
         tables.load_decisions(spark, str(tmp_path / "absent"))
     with pytest.raises(ValueError):
