@@ -1 +1,8 @@
-"""PySpark-native analytics over long-format measurement tables."""
+"""Analytics and prediction over long-format measurement tables, and corpus operators, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
