@@ -7,26 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, ngram_join, packing, quality
+from . import fingerprints, lines, mixing, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
 from .common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.clusters(documents(spark, d))
 
 
+def op3_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digest(documents(spark, d))
+
+
 def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(documents(spark, d))
 
 
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, d).select("doc_id", "text"), name="q").select("doc_id", "q.*")
+
+
+def op6_secret_scans(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.digest(documents(spark, d))
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     q = quality.with_quality(documents(spark, d).select("doc_id", "text"), name="q")
     return q.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                                   "base_failed", "kept", "ratio", "low_chunks", "high_chunks", "n_chunks")])
 
 
+def op8_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(documents(spark, d))
+
+
 def op9_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(documents(spark, d))[1].select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -37,5 +57,6 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op2_ngram_jaccard_join, op4_best_fit_packing, op7_quality_rules, op9_source_mixing, op10_line_dedup)}
+    op1_toxicity, op2_ngram_jaccard_join, op3_personal_data, op4_best_fit_packing, op5_token_counts, op6_secret_scans,
+    op7_quality_rules, op8_order_minhash, op9_source_mixing, op10_line_dedup)}
 SQL: dict[str, str] = {}
