@@ -48,10 +48,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(marked, SPACES, "")), F.lit(0)).cast("long")
 
 
-def cells_for(rows: int, rows_per_cell: int = 20_000) -> int:
-    return max(1, -(-rows // rows_per_cell))
-
-
 def running_totals(df: DataFrame, by: list[str], cell: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds, for each name of ``sums``, the total of its column over the rows before (exclusive).
 

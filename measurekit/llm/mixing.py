@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cells_for, fresh, running_totals, stored, word_count
+from .common import fresh, running_totals, stored, word_count
 
 BLOCK = 2048
 MAX_EPOCHS = 3
-SLOTS_PER_CELL = 65_536
+SLOTS_PER_CELL = 16_384
+ROWS_PER_CELL = 2_000
 #: The golden ratio's fractional part in 32 bits: point i is (i * PHI mod 2^32) / 2^32.
 PHI = 2_654_435_769
 
@@ -32,14 +33,14 @@ def _edge(k: Column, size: Column, n: Column) -> Column:
 
 
 def source_table(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``source, source_size, rank, weight, target`` from ``source, size``.
+    """``source, source_size, n_docs, rank, weight, target`` from ``source, size``.
 
     Sources stand in code point order, null last, and weigh ``weights`` in turn. They share all
     tokens by weight, a target stopping at ``epochs`` times its source; what is cut off goes to
     the others by weight until none is above. The level is found by sums over the source table,
     one number to the driver a round.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     placed = stored(sums.orderBy(F.col("source").asc_nulls_last()).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33).alias("_part")
     starts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select(
@@ -101,9 +102,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 def on_lines(docs: DataFrame, sources: DataFrame, text_size: str, row: list[str], seed: int) -> DataFrame:
     """Documents placed on their source's token line, in an order hashed from ``row``: ``from``, ``to``."""
     order = F.xxhash64(F.lit(seed), *row)
-    rows = docs.count()
-    cell = F.pmod(F.shiftright(order, 8), F.lit(cells_for(rows)))
-    placed = docs.join(sources.select(F.col("source").alias("_s"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    cell = F.pmod(F.shiftright(order, 8), F.ceil(F.col("n_docs") / ROWS_PER_CELL))
+    placed = docs.join(sources.select(F.col("source").alias("_s"), "rank", "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return running_totals(placed, ["rank"], cell, [order, *map(F.col, row)], {"from": F.col(text_size)}).withColumn(
         "to", F.col("from") + F.col(text_size))
 

@@ -26,15 +26,15 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` bounds the labelled rows that the fit sees; the model has at most ``2**bits`` weights."""
+    """``max_rows`` bounds the labelled rows that the fit sees, dealt to shards of ``shard_rows`` at least; the model has at most ``2**bits`` weights."""
     bits: int = 20
-    alpha: float = .3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = .5
-    epochs: int = 3
-    shards: int = 8
-    max_rows: int = 24_000
+    l1: float = 10.0
+    l2: float = .1
+    epochs: int = 6
+    shard_rows: int = 8_000
+    max_rows: int = 48_000
 
 
 def features(text: str | None, bits: int, known: dict[bytes, int]) -> np.ndarray:
@@ -75,18 +75,19 @@ class Ftrl:
 def _fit_shards(s: Settings):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        seen = [(features(t, s.bits, known).astype(np.int32), y) for b in batches
-                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        if not seen:
-            return
-        model = Ftrl(s)
-        for _ in range(s.epochs):
-            for at, y in seen:
-                model.learn(at, y)
-        w = model.weights(slice(None))
-        w[0] = w[0] or 1e-12   # every fitted shard is counted by its bias
-        used = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(w[used])], ["feature", "weight"])
+        shards: dict[int, list] = {}   # one as a rule; a task may be dealt several
+        for b in batches:
+            for k, t, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                shards.setdefault(k, []).append((features(t, s.bits, known).astype(np.int32), y))
+        for seen in shards.values():
+            model = Ftrl(s)
+            for _ in range(s.epochs):
+                for at, y in seen:
+                    model.learn(at, y)
+            w = model.weights(slice(None))
+            w[0] = w[0] or 1e-12   # every fitted shard is counted by its bias
+            used = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(w[used])], ["feature", "weight"])
     return rows
 
 
@@ -101,10 +102,11 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> dict[int, float]:
     total = rows.count()
     if total > s.max_rows:
         rows = rows.filter(F.col("_o") < int(2 ** 62 * (s.max_rows / total)))
-    dealt = rows.repartition(s.shards, F.pmod("_o", F.lit(s.shards))).sortWithinPartitions("_o", "doc_id", F.xxhash64("text"))
-    per_shard = stored(dealt.select("text", F.col("label").cast("int")).mapInArrow(_fit_shards(s), "feature int, weight double"))
-    shards = per_shard.filter("feature = 0").count()
-    found = per_shard.groupBy("feature").agg((F.sum("weight") / F.lit(float(max(1, shards)))).alias("w")).collect()   # 2**bits at most
+    shards = max(1, min(total, s.max_rows) // s.shard_rows)
+    dealt = rows.withColumn("_shard", F.pmod("_o", F.lit(shards))).repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "doc_id", F.xxhash64("text"))
+    per_shard = stored(dealt.select("_shard", "text", F.col("label").cast("int")).mapInArrow(_fit_shards(s), "feature int, weight double"))
+    fitted = per_shard.filter("feature = 0").count()
+    found = per_shard.groupBy("feature").agg((F.sum("weight") / F.lit(float(max(1, fitted)))).alias("w")).collect()   # 2**bits at most
     return {r["feature"]: r["w"] for r in found}
 
 
