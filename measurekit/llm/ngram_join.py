@@ -212,10 +212,10 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
 
     ``n_shingles`` is the number of distinct n-grams of ``size`` words (A-Z lower-cased). Documents
     link when ``100 * |A & B| >= percent * |A | B|``; ``component_id`` is the least id reachable by
-    links, its own at least; ``n_links`` counts the verified links the search needed at its node. A null
-    or empty text has no n-grams and links with nothing. Rows that share an id count as one document
-    each under that id, the least of their nodes' components holding for all; rows without an id
-    get a null component and link nothing. Sets are told apart by 128-bit digests.
+    links, its own at least; ``n_links`` counts the verified links the search needed at its set.
+    A null or empty text has no n-grams and links with nothing. Rows that share an id and a text
+    are one document; rows that share an id only are linked as their texts are. Rows without an
+    id get a null component and link nothing. Sets are told apart by 128-bit digests.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = stored(plain.mapInArrow(_set_rows(size, percent), T_SCHEMA))
@@ -259,7 +259,9 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     by_node = nodes.join(label, "node", "left").join(degree, "node", "left").select(
         "d1", "d2", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sets.join(by_node, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("c", "doc_id")).alias("component_id"),
+                      F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return ngram_join.clusters(documents(spark, d))
+    return ngram_join.clusters(documents(spark, d)).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_personal_data(spark: SparkSession, d: str) -> DataFrame:
@@ -59,4 +59,25 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_jaccard_join, op3_personal_data, op4_best_fit_packing, op5_token_counts, op6_secret_scans,
     op7_quality_rules, op8_order_minhash, op9_source_mixing, op10_line_dedup)}
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+  from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)),
+both_ways as (select x, y from links union all select y, x from links),
+r as (select doc_id, doc_id as c from documents union select y, c from r join both_ways on x = r.doc_id and c < y)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(c) as component_id from documents d join r using (doc_id) left join n using (doc_id) group by all""",
+    "op10_line_dedup": f"""
+with l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from
+  (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') as k from l),
+o as (select k, min(doc_id) as owner from k where length(k) >= 10 group by k having count(distinct doc_id) >= 2),
+m as (select doc_id, line, pos, owner is not null and owner <> doc_id as gone from k left join o using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from m group by 1""",
+}
