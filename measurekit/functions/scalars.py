@@ -26,11 +26,9 @@ def normalize_key(c: Column, fallback: Column | None = None) -> Column:
     return form(c) if fallback is None else F.coalesce(form(c), form(fallback))
 
 
-def coarse_key(c: Column, length: int | None = None) -> Column:
-    """Key with detail stripped: letters and digits only, optionally a prefix of them."""
-    flat = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    flat = flat if length is None else F.substring(flat, 1, length)
-    return F.nullif(flat, F.lit(""))
+def coarse_key(c: Column) -> Column:
+    """Digest of the whole key with detail stripped: letters and digits only; null when none is left."""
+    return F.md5(F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""), F.lit("")))
 
 
 def guarded_ratio(num: Column, den: Column) -> Column:

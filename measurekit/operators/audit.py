@@ -45,22 +45,22 @@ def near_duplicates(df: DataFrame, coarse: Column, rel: float = 0.01, abs_: floa
     return _groups(_per_key(df, coarse), "coarse", "n_variants", rel, abs_).filter(F.col("coarse").isNotNull())
 
 
-def _group_totals(groups: DataFrame, prefix: str) -> DataFrame:
-    return groups.groupBy(TYPE).agg(
-        F.count(F.lit(1)).alias(f"{prefix}_groups"), F.sum("n_rows").alias(f"{prefix}_rows"),
-        F.count_if(F.col("consistent")).alias(f"{prefix}_consistent"),
-        F.count_if(~F.col("consistent")).alias(f"{prefix}_conflicting"))
-
-
 def duplicate_report(df: DataFrame, coarse: Column) -> DataFrame:
     """Exact and near duplicate counts per type plus a grand total row (type null)."""
-    per_key = _per_key(df, coarse)       # one shuffle of the rows, reused by all three branches
-    sizes = per_key.groupBy(TYPE).agg(F.sum("n").alias("n"))
-    exact = _group_totals(_groups(per_key, KEY, "n_rows", 0.01, 1e-6), "exact")
-    near = _group_totals(_groups(per_key, "coarse", "n_variants", 0.01, 1e-6).filter(F.col("coarse").isNotNull()), "near")
-    joined = sizes.join(exact, TYPE, "left").join(near, TYPE, "left").na.fill(0)
-    counts = [c for c in joined.columns if c != TYPE]
-    return joined.rollup(TYPE).agg(*[F.sum(c).alias(c) for c in counts])
+    multi, agree = F.col("n") > 1, is_consistent(F.col("lo"), F.col("hi"), F.try_divide("s", "ny"))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    # a key has one coarse form, so its row already is its exact group
+    groups = _per_key(df, coarse).groupBy(TYPE, "coarse").agg(
+        F.sum("n").alias("n_rows"), F.count_if(multi).alias("exact_groups"), total(multi).alias("exact_rows"),
+        F.count_if(multi & agree).alias("exact_consistent"), F.count_if(multi & ~F.coalesce(agree, F.lit(False))).alias("exact_conflicting"),
+        (F.col("coarse").isNotNull() & (F.count(F.lit(1)) > 1)).alias("near"),
+        is_consistent(F.min("lo"), F.max("hi"), F.try_divide(F.sum("s"), F.sum("ny"))).alias("agree"))
+    near, same = F.col("near"), F.coalesce("agree", F.lit(False))
+    exact = ("exact_groups", "exact_rows", "exact_consistent", "exact_conflicting")
+    return groups.rollup(TYPE).agg(
+        F.sum("n_rows").alias("n"), *[F.sum(c).alias(c) for c in exact], F.count_if(near).alias("near_groups"),
+        F.coalesce(F.sum(F.when(near, F.col("n_rows"))), F.lit(0)).alias("near_rows"),
+        F.count_if(near & same).alias("near_consistent"), F.count_if(near & ~same).alias("near_conflicting"))
 
 
 def conflict_examples(df: DataFrame, k: int = 3) -> DataFrame:
@@ -74,6 +74,14 @@ def conflict_examples(df: DataFrame, k: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"))
 
 
+def near_conflict_examples(df: DataFrame, coarse: Column, k: int = 3) -> DataFrame:
+    """The variants and values of the first ``k`` conflicting near-duplicate groups per type."""
+    bad = near_duplicates(df, coarse).filter(~F.col("consistent")).select(TYPE, "coarse")
+    first = top_rows(bad, [TYPE], [F.col("coarse")], k, "example")
+    return join_small(df.withColumn("coarse", coarse), first, [TYPE, "coarse"]).groupBy(TYPE, "coarse", "example", KEY, Y).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 def distribution(df: DataFrame) -> DataFrame:
     """n, min, max, mean, std (ddof 1) and bias-adjusted skew per type."""
     n = F.count(Y)

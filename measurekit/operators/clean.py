@@ -42,7 +42,8 @@ def with_row_id(df: DataFrame, cols: Sequence[str], name: str = ROW) -> DataFram
     their place in the input, so they are numbered by it, partition by partition;
     the numbered input is materialised first, so a recomputed task cannot renumber.
     """
-    whole = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    text = [F.col(c).cast("string") for c in cols]   # length first: no two rows run together, null is not empty
+    whole = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
     tagged = cut(df.withColumn("_h", F.md5(whole)).withColumn("_part", F.spark_partition_id())
                  .withColumn("_at", F.monotonically_increasing_id()))
     out = row_number_by_cell(tagged, "_h", F.col("_part"), [F.col("_at")], "_rn")

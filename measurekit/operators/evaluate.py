@@ -146,6 +146,6 @@ def nested_score(df: DataFrame, pred: str) -> DataFrame:
 
 
 def choose_combiner(scores: DataFrame) -> DataFrame:
-    """Stack or blend per type, whichever pooled R2 is higher; the stack wins a tie."""
-    return scores.select(TYPE, F.when(F.col("stack_r2") >= F.col("blend_r2"), "stack").otherwise("blend").alias("combiner"),
+    """Stack or blend per type, whichever pooled R2 is higher; the blend is kept on a tie."""
+    return scores.select(TYPE, F.when(F.col("stack_r2") > F.col("blend_r2"), "stack").otherwise("blend").alias("combiner"),
                          F.greatest("stack_r2", "blend_r2").alias("r2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, KEY, REPEAT, ROW, TYPE
@@ -14,16 +14,20 @@ SEED = 42
 
 def group_kfold(df: DataFrame, k: int = 5, seed: int = SEED, mode: str = "hash",
                 key: str = KEY, name: str = FOLD) -> DataFrame:
-    """All rows of a key share a fold.
+    """All rows of a key share a fold; rows without a key get a null fold, so they are on no side.
 
     ``hash`` needs no shuffle and balances folds in expectation; ``balanced`` deals
     the keys of each type into folds whose key counts differ by at most one.
     """
     if mode == "hash":
-        return df.withColumn(name, hash_fold(seed, F.col(key), k))
+        return df.withColumn(name, _fold(seed, key, k))
     if mode != "balanced":
         raise ValueError(f"unknown mode {mode!r}")
-    return join_salted(df, balanced_key_folds(df, k, seed, key).withColumnRenamed(FOLD, name), [TYPE, key])
+    return join_salted(df, balanced_key_folds(df, k, seed, key).withColumnRenamed(FOLD, name), [TYPE, key], "left")
+
+
+def _fold(seed: int, key: str, k: int) -> Column:
+    return F.when(F.col(key).isNotNull(), hash_fold(seed, F.col(key), k))
 
 
 def balanced_key_folds(df: DataFrame, k: int = 5, seed: int = SEED, key: str = KEY) -> DataFrame:
@@ -39,8 +43,8 @@ def row_kfold(df: DataFrame, k: int = 5, seed: int = SEED, name: str = FOLD) ->
 
 def fold_columns(df: DataFrame, k: int = 5, repeats: int = 3, seed: int = SEED,
                  key: str = KEY) -> DataFrame:
-    """Wide form: ``fold_0 .. fold_{repeats-1}``, one seed each, without multiplying rows."""
-    return df.withColumns({f"fold_{r}": hash_fold(seed + r, F.col(key), k) for r in range(repeats)})
+    """Wide form: ``fold_0 .. fold_{repeats-1}``, one seed each, without multiplying rows; null without a key."""
+    return df.withColumns({f"fold_{r}": _fold(seed + r, key, k) for r in range(repeats)})
 
 
 def fold_names(repeats: int) -> list[str]:
@@ -79,7 +83,7 @@ def paired_folds(df: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
 
 def fold_report(folds: DataFrame) -> DataFrame:
     """Training and validation row counts per type, repeat and fold."""
-    n = folds.groupBy(TYPE, REPEAT, FOLD).agg(F.count(F.lit(1)).alias("n_val"))
+    n = folds.filter(F.col(FOLD).isNotNull()).groupBy(TYPE, REPEAT, FOLD).agg(F.count(F.lit(1)).alias("n_val"))
     whole = n.groupBy(TYPE, REPEAT).agg(F.sum("n_val").alias("_all"))
     return n.join(whole, [TYPE, REPEAT]).select(
         TYPE, REPEAT, FOLD, (F.col("_all") - F.col("n_val")).alias("n_train"), "n_val")
@@ -87,6 +91,6 @@ def fold_report(folds: DataFrame) -> DataFrame:
 
 def leak_check(folds: DataFrame, key: str = KEY) -> DataFrame:
     """Keys that appear in more than one fold, per type and repeat; zero everywhere is clean."""
-    per = folds.groupBy(TYPE, REPEAT, key).agg(F.min(FOLD).alias("lo"), F.max(FOLD).alias("hi"))
+    per = folds.filter(F.col(FOLD).isNotNull()).groupBy(TYPE, REPEAT, key).agg(F.min(FOLD).alias("lo"), F.max(FOLD).alias("hi"))
     return per.groupBy(TYPE, REPEAT).agg(F.count(F.lit(1)).alias("n_keys"),
                                          F.count_if(F.col("lo") < F.col("hi")).alias("n_shared"))

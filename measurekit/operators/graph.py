@@ -9,7 +9,7 @@ from ..dist import join_salted
 from ..session import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(grp, node, component)`` for every node that has an edge; the label is the least node.
 
     ``edges`` has columns ``grp, src, dst``; groups are independent graphs. Each
@@ -20,7 +20,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     e = cut(e.filter("u <> v").distinct())
     nodes = e.select("grp", F.col("u").alias("node")).union(e.select("grp", F.col("v").alias("node"))).distinct()
     mark = _mark(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select("grp", F.col("v").alias("u"), F.col("u").alias("v")))
         e = cut(_star(both, larger_only=True))
         e = cut(_star(e, larger_only=False))
@@ -28,8 +28,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     label = e.select("grp", F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(label, ["grp", "node"], "left").withColumn(
         "component", F.coalesce("component", "node"))

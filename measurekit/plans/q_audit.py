@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, KEY, REPEAT, ROW, TYPE, Y
+from ..dist import join_salted
 from ..functions.scalars import (TRANSFORMS, array_stats, class_counts, literal_count, pattern_counts, rounded)
 from ..operators import audit, folds, graph, output
 from .registry import query
@@ -12,12 +13,12 @@ from .views import (ITEM_TYPES, daily, docs, events, items, r6, scoring_side, sq
 
 I, E, DY, DO = with_("m_items"), with_("m_events"), with_("m_daily"), with_("m_docs")
 CONSISTENT = "((y_max-y_min)/(abs(y_mean)+1e-9) < 0.01 or y_max-y_min < 1e-6)"
-COARSE = "substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 60)"
+COARSE = "md5(nullif(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), ''))"
 
 
 def _coarse():
     from ..functions.scalars import coarse_key
-    return coarse_key(F.col("text"), 60)
+    return coarse_key(F.col("text"))
 
 
 def _exact(src):
@@ -28,7 +29,7 @@ def _exact(src):
 def _near(src):
     return f"""ne as (select *, {CONSISTENT} as consistent from (select target_type, coarse, count(distinct entity) n_variants,
   count(*) n_rows, min(target) y_min, max(target) y_max, avg(target) y_mean
-  from (select *, nullif({COARSE}, '') as coarse from {src}) where coarse is not null group by all) where n_variants > 1)"""
+  from (select *, {COARSE} as coarse from {src}) where coarse is not null group by all) where n_variants > 1)"""
 
 
 def _report(src):
@@ -79,6 +80,14 @@ def _(spark, d):
     return audit.conflict_examples(daily(spark, d))
 
 
+@query("near_conflict_examples", "D5", DO + f", {_near('m_docs')}, " + f"""
+pick as (select target_type, coarse, row_number() over (partition by target_type order by coarse) as example from ne where not consistent)
+select m.target_type, m.coarse, example::int as example, m.entity, m.target, count(*) as n_rows
+from (select *, {COARSE} as coarse from m_docs) m join pick p using (target_type, coarse) where example <= 3 group by all""")
+def _(spark, d):
+    return audit.near_conflict_examples(docs(spark, d), _coarse())
+
+
 @query("target_distribution", "D6", E + f"""
 select target_type, count(target) as n, min(target) as y_min, max(target) as y_max, {r6('avg(target)','y_mean')},
  {r6('stddev_samp(target)','y_std')}, {r6('skewness(target)','y_skew')} from m_events group by 1""")
@@ -217,21 +226,21 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", *pattern_counts(F.col("text"), _RULES))
 
 
-_EDGES = """nodes as (select doc_id, source as grp, substr(lower(text), 1, 40) as a, md5(substr(lower(text), greatest(length(text)-30, 1), 31)) as b from documents),
-edges as (select grp, doc_id as src, min(doc_id) over (partition by grp, a) as dst from nodes
-  union all select grp, doc_id, min(doc_id) over (partition by grp, b) from nodes),
+_EDGES = f"""nodes as (select doc_id, source as grp, text from documents),
+held as (select grp, doc_id, {COARSE} as k from nodes
+  union select grp, doc_id, md5(line) from (select grp, doc_id, unnest(string_split(text, chr(10))) as line from nodes) where length(line) >= 40),
+edges as (select grp, doc_id as src, min(doc_id) over (partition by grp, k) as dst from held where k is not null),
 """
 
 
 def _edges(spark, d):
-    n = table(spark, d, "documents").select(
-        "doc_id", F.col("source").alias("grp"), F.substring(F.lower("text"), 1, 40).alias("a"),
-        F.md5(F.expr("substring(lower(text), greatest(length(text)-30, 1), 31)")).alias("b"))
-    out = []
-    for k in ("a", "b"):
-        least = n.groupBy("grp", k).agg(F.min("doc_id").alias("dst"))
-        out.append(n.join(least, ["grp", k]).select("grp", F.col("doc_id").alias("src"), "dst"))
-    return out[0].union(out[1]), n
+    """Documents of a source are tied when their whole texts are near duplicates or they share a whole line."""
+    n = table(spark, d, "documents").select("doc_id", F.col("source").alias("grp"), "text")
+    same_line = n.select("grp", "doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= 40)
+    held = n.select("grp", "doc_id", _coarse().alias("k")).union(same_line.select("grp", "doc_id", F.md5("line"))).filter(
+        "k is not null").distinct()
+    least = held.groupBy("grp", "k").agg(F.min("doc_id").alias("dst"))
+    return join_salted(held, least, ["grp", "k"]).select("grp", F.col("doc_id").alias("src"), "dst"), n
 
 
 @query("connected_components", "D21", "with recursive " + _EDGES + """
@@ -272,6 +281,17 @@ def _(spark, d):
 _POLICY = ", p as (select target_type, case when count(*) <= 10000 then 3 else 1 end as repeats from m_items group by 1)"
 
 
+@query("group_folds_null_keys", "J1", I + f""",
+n as (select row_id, target_type, case when line = 3 then null else entity end as entity from m_items),
+k as (select target_type, entity, ntile(5) over (partition by target_type order by md5('42:'||entity::varchar), entity) - 1 as fold
+ from (select distinct target_type, entity from n where entity is not null))
+select row_id, case when entity is not null then {sql_fold(42)} end as hashed, k.fold::int as balanced from n left join k using (target_type, entity)""")
+def _(spark, d):
+    m = items(spark, d).withColumn(KEY, F.when(F.col("line") != 3, F.col(KEY)))
+    m = folds.group_kfold(m, name="hashed")
+    return folds.group_kfold(m, mode="balanced", name="balanced").select(ROW, "hashed", "balanced")
+
+
 @query("repeated_folds_by_size", "J2", I + "," + sql_long("a", "m_items", 3) + _POLICY + """
 select row_id, repeat, fold from a_f join p using (target_type) where repeat < repeats""")
 def _(spark, d):

@@ -99,7 +99,7 @@ def _(spark, d):
 @query("stack_or_blend", "L16", cte("m_items", *STACKED, """
 eq as (select target_type, target, (p1+p2)/2 as pred from m)""") + f""",
 a as (select target_type, {R2} as s from sp group by 1), b as (select target_type, {R2} as b from eq group by 1)
-select target_type, case when s >= b then 'stack' else 'blend' end as combiner, {r6('greatest(s, b)','r2')} from a join b using (target_type)""")
+select target_type, case when s > b then 'stack' else 'blend' end as combiner, {r6('greatest(s, b)','r2')} from a join b using (target_type)""")
 def _(spark, d):
     m = _matrix(spark, d)
     s = stack.nested_stack_score(m, COLS).select(TYPE, F.col("r2").alias("stack_r2"))

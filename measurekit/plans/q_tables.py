@@ -132,13 +132,13 @@ def _(spark, d):
 
 
 @query("coarse_keys", "B4", """
-select doc_id, nullif(substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 80), '') as coarse from documents""")
+select doc_id, md5(nullif(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), '')) as coarse from documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", coarse_key(F.col("text"), 80).alias("coarse"))
+    return table(spark, d, "documents").select("doc_id", coarse_key(F.col("text")).alias("coarse"))
 
 
 @query("content_row_ids", "B5", """
-with h as (select md5(concat_ws('|', l_orderkey, l_linenumber)) as h from lineitem)
+with h as (select md5(length(l_orderkey::varchar)||':'||l_orderkey||length(l_linenumber::varchar)||':'||l_linenumber) as h from lineitem)
 select h||'-'||(row_number() over (partition by h)) as row_id from h""")
 def _(spark, d):
     return clean.with_row_id(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"),

@@ -58,11 +58,15 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a measurement table of their length.
+    """Documents as a measurement table of their length, a quarter of them also re-punctuated.
 
     The key is a digest of the whole text, so that grouping shuffles 32 characters a row.
     """
-    return wide_table(spark, d, "documents").select(
+    plain = wide_table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars", "source")
+    varied = plain.filter("doc_id % 4 = 1").select(
+        (-F.col("doc_id")).alias("doc_id"), F.concat(F.replace("text", F.lit(" "), F.lit(", ")), F.lit(" !")).alias("text"), "lang",
+        F.when(F.col("doc_id") % 8 == 1, F.col("n_chars")).otherwise(2 * F.col("n_chars")).alias("n_chars"), "source")
+    return plain.union(varied).select(
         F.col("doc_id").alias(ROW), F.md5("text").alias(KEY), F.col("lang").alias(TYPE),
         F.col("n_chars").cast("double").alias(Y), "source", "text")
 
@@ -101,7 +105,10 @@ SQL: dict[str, str] = {
   select event_id as row_id, user_id||'|'||strftime(ts, '%Y-%m-%d') as entity, event_type as target_type,
     value as target from events)""",
     "m_docs": """m_docs as (
-  select doc_id as row_id, md5(text) as entity, lang as target_type, n_chars::double as target, source, text from documents)""",
+  select doc_id as row_id, md5(text) as entity, lang as target_type, n_chars::double as target, source, text from
+   (select doc_id, text, lang, n_chars, source from documents union all
+    select -doc_id, replace(text, ' ', ', ')||' !', lang, case when doc_id % 8 = 1 then n_chars else 2*n_chars end, source
+    from documents where doc_id % 4 = 1))""",
 }
 
 
