@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells_for, running_totals, stored
+from .common import running_totals, stored
 
 CAPACITY = 1024
 END = 2
+ROWS_PER_CELL = 1_000
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 
@@ -170,9 +171,10 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     table = spark.createDataFrame([(r.length, r.rank, r.rank + r.count, r.bin - r.rank, r.offset) for r in runs],
                                   "length long, first long, after long, shift long, offset long")
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    cells = cells_for(sum(counts.values()) + full)
-    ranked = running_totals(pieces, ["length"], F.pmod(F.shiftright(order, 8), F.lit(cells)), [order, F.col("doc_id"), F.col("piece"), F.col("start")],
+    # one row for each length, and at most a few runs for each
+    cells = spark.createDataFrame([(n, -(-c // ROWS_PER_CELL)) for n, c in [*counts.items(), (capacity, full)]], "length long, cells long")
+    dealt = pieces.join(F.broadcast(cells), "length")
+    ranked = running_totals(dealt, ["length"], F.pmod(F.shiftright(order, 8), F.col("cells")), [order, F.col("doc_id"), F.col("piece"), F.col("start")],
                             {"rank": F.lit(1).cast("long")})
-    # at most a few runs for each of the capacity's lengths, whatever the corpus
     placed = ranked.join(F.broadcast(table), "length").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset")
