@@ -1,9 +1,9 @@
 """Corpus-wide line deduplication: explode normalised lines, hash them, count documents, reassemble.
 
 A key found in enough documents keeps its lines in the document with the least id only. Keys
-travel as hashes, in two steps: 64 bits find the few keys that can be shared at all, 128 bits
-decide among those. Every count combines on the map side, so a line that a third of all
-documents share is summed like any other; texts move once, to meet their document's drop list.
+travel as 128-bit hashes. Counts combine on the map side and the join that follows can be split
+by Spark, so a line that a third of all documents share is handled like any other; texts move
+once, to meet their document's drop list.
 """
 
 from __future__ import annotations
@@ -42,36 +42,34 @@ def _line_rows(min_chars: int):
     return rows
 
 
-@F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
-def _reassembled(texts: pa.Array, drops: pa.Array, min_chars: pa.Array) -> pa.Array:
+def _reassemble(least: int):
     """Lines in their order, without those whose key is on the document's drop list."""
-    least = min_chars[0].as_py() if len(min_chars) else 0
-    out, total, gone = [], [], []
-    for t, d in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-        lines = kept = (t or "").split("\n")
-        if d:
-            bad = {h1.to_bytes(8, "little", signed=True) + h2.to_bytes(8, "little", signed=True) for h1, h2 in zip(d[::2], d[1::2], strict=True)}
-            kept = [x for x, low in zip(lines, t.encode().lower().split(b"\n"), strict=True)
-                    if line_key(low, least) not in bad]
-        out.append(t if len(kept) == len(lines) else "\n".join(kept))
-        total.append(len(lines))
-        gone.append(len(lines) - len(kept))
-    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                                      ["text", "n_lines", "n_dropped"])
+    @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
+    def reassembled(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        out, total, gone = [], [], []
+        for t, d in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
+            lines = kept = (t or "").split("\n")
+            if d:
+                bad = {a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for a, b in zip(d[::2], d[1::2], strict=True)}
+                kept = [x for x, low in zip(lines, t.encode().lower().split(b"\n"), strict=True) if line_key(low, least) not in bad]
+            out.append(t if len(kept) == len(lines) else "\n".join(kept))
+            total.append(len(lines))
+            gone.append(len(lines) - len(kept))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+                                          ["text", "n_lines", "n_dropped"])
+    return reassembled
 
 
 def drop_lists(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs: int) -> DataFrame:
     """``doc, drops``: the keys a document loses, each as two longs in a row."""
     lines = docs.select(F.col(doc_id).cast("long").alias("doc"), text).filter("doc is not null").mapInArrow(
         _line_rows(min_chars), "doc long, h1 long, h2 long")
-    maybe = lines.groupBy("h1").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h1")
-    among = lines.join(maybe, "h1")
     if min_docs == 2:
-        shared = among.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
+        shared = lines.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
     else:
-        shared = among.distinct().groupBy("h1", "h2").agg(
+        shared = lines.distinct().groupBy("h1", "h2").agg(
             F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    lost = among.join(shared.select("h1", "h2", "owner"), ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
+    lost = lines.join(shared.select("h1", "h2", "owner"), ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
     return lost.groupBy("doc").agg(F.flatten(F.collect_set(F.array("h1", "h2"))).alias("drops"))
 
 
@@ -87,7 +85,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     doc, drops = fresh(docs.columns, "_doc", "_drops")
     lists = drop_lists(docs, text, doc_id, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("drops").alias(drops))
     joined = docs.withColumn(doc, F.col(doc_id).cast("long")).join(lists, doc, "left")
-    return joined.withColumn(name, _reassembled(text, drops, F.lit(min_chars))).drop(doc, drops)
+    return joined.withColumn(name, _reassemble(min_chars)(text, drops)).drop(doc, drops)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
