@@ -1,7 +1,7 @@
 """Skew-safe building blocks shared by the operators.
 
 Nothing here hands an unbounded group to one task: small sides are measured before
-they are broadcast, hot join keys are salted, ranks are taken inside cells and
+they are broadcast, hot join keys are salted by their counts, ranks are taken inside cells and
 shifted by cell offsets, and quantiles of large groups are found by narrowing a
 bracket with map-side-combined aggregates.
 """
@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from .session import cut
 
 SMALL_ROWS = 50_000        # most rows a side may have to be broadcast
-HOT_SHARE = 0.001          # a key above this share of rows is hot: at most 1000 such keys
-HOT_MIN_ROWS = 1_000_000   # below this a key is never worth salting
-SALTS = 64
+ROWS_PER_TASK = 5_000_000  # a key with more rows is hot and spread over several tasks
 EXACT_GROUP_ROWS = 1_000_000
 
 
@@ -44,44 +42,53 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
     return join_salted(left, right, on, how)
 
 
-def hot_keys(df: DataFrame, on, share: float = HOT_SHARE,
-             min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding more than ``share`` of the rows; never more than ``1/share`` of them."""
+def hot_keys(df: DataFrame, on, rows: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Keys with more rows than a task should hold, and ``_salts``, the tasks they need; None when there are none.
+
+    There are at most (rows of ``df`` / ``rows``) of them.
+    """
     on = as_list(on)
     known = df.select(*on).dropna()
-    total = known.count()
-    if total <= min_rows:
-        return df.sparkSession.createDataFrame([], known.schema)
-    floor = max(min_rows, share * total)
-    counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return small_local(counted.filter(F.col("_n") > floor).select(*on), int(1 / share) + 1)
+    if known.limit(rows + 1).count() <= rows:
+        return None
+    counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    hot = settled(counted.select(*on, F.ceil(F.col("_n") / rows).alias("_salts")))
+    return None if hot.isEmpty() else hot
 
 
-def join_salted(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS,
-                salts: int = SALTS) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks.
+def join_salted(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Equi-join whose hot left keys are spread over as many tasks as their count needs.
 
-    The salt is a hash of the row, not a random number, so a recomputed task sends
-    each row to the same place. Right rows are copied only for hot keys.
+    The salt is a hash of the row, not a random number, so a recomputed task sends each row to
+    the same place. Right rows are copied for hot keys only. In a left or anti join rows without a key
+    match nothing and are spread too.
     """
     on = as_list(on)
-    hot = hot_keys(left, on, share, min_rows)
-    if hot.isEmpty():
+    keyless = F.lit(False)
+    for c in on:
+        keyless = keyless | F.col(c).isNull()
+    hot = hot_keys(left, on, rows)
+    nulls = 0 if how not in ("left", "left_anti") else left.filter(keyless).limit(rows + 1).count()
+    if hot is None and nulls <= rows:
         return left.join(right, on, how)
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    plain = [F.col(f.name) for f in left.schema.fields if f.dataType.simpleString()[:3] != "map"]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
-    lhs = (left.withColumn("_spread", spread).join(flag, on, "left")
-           .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0)))
-           .drop("_spread", "_hot"))
-    rhs = (right.join(flag, on, "left")
-           .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                          .otherwise(F.array(F.lit(0)))))
-           .drop("_hot"))
+    if nulls > rows:
+        nulls = left.filter(keyless).count()
+    hot = left.select(*on, F.lit(1).cast("long").alias("_salts")).limit(0) if hot is None else hot
+    plain = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() != "map"]
+    salts = F.when(keyless, F.lit(max(1, -(-nulls // rows)))).otherwise(F.coalesce("_salts", F.lit(1)))
+    lhs = (join_measured(left.withColumn("_row", F.xxhash64(*plain)), hot, on)
+           .withColumn("_salt", F.pmod(F.col("_row"), salts)).drop("_row", "_salts"))
+    rhs = (join_measured(right, hot, on)
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts"))
     return lhs.join(rhs, [*on, "_salt"], how).drop("_salt")
 
 
+def join_measured(df: DataFrame, flags: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a short table of keys: broadcast when it is counted to be short."""
+    local = small_local(flags)
+    return df.join(flags if local is None else F.broadcast(local), on, "left")
+
+
 def row_number_by_cell(df: DataFrame, by, cell: Column, order: Sequence[Column],
                        name: str = "rn", total: str | None = None) -> DataFrame:
     """``row_number() over (partition by by order by cell, *order)`` without one task per group.

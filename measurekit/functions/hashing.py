@@ -25,6 +25,9 @@ def hash_order(seed: int | Column, c: Column) -> Column:
     return F.md5(seeded(seed, c))
 
 
-def hash_cell(order: Column) -> Column:
-    """First three hex digits of a hash: 4096 evenly filled cells in hash order."""
-    return F.substring(order, 1, 3)
+def hash_cell(order: Column, rows: int, rows_per_cell: int = 10_000) -> Column:
+    """Leading hex digits of a hash: evenly filled cells in hash order, as many as ``rows`` need."""
+    digits = 1
+    while 16 ** digits * rows_per_cell < rows:
+        digits += 1
+    return F.substring(order, 1, digits)

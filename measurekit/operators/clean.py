@@ -87,11 +87,18 @@ def with_prefix(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFra
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` distinct keys in seeded hash order, exact, with no global sort.
 
-    Only the hash cell that straddles the n-th key is ordered.
+    A threshold on the hash, set from the number of keys, leaves little more than ``n`` of them;
+    only those are ranked, cell by cell.
     """
     keys = df.select(key).dropna().distinct().withColumn("_h", hash_order(seed, F.col(key)))
-    keys = keys.withColumn("_all", F.lit(1))
-    ranked = row_number_by_cell(keys, "_all", hash_cell(F.col("_h")), [F.col("_h"), F.col(key)], "_rn")
+    total, share = keys.count(), 0.0
+    while True:
+        share = min(1.0, max(2 * share, (n + 6 * n ** 0.5 + 10) / max(1, total)))
+        near = keys if share == 1.0 else keys.filter(F.col("_h") < f"{int(share * 2 ** 32):08x}")
+        found = near.count()
+        if found >= min(n, total):
+            break
+    ranked = row_number_by_cell(near.withColumn("_all", F.lit(1)), "_all", hash_cell(F.col("_h"), found), [F.col("_h"), F.col(key)], "_rn")
     return ranked.filter(F.col("_rn") <= n).select(key)
 
 

@@ -32,7 +32,7 @@ def _fold(seed: int, key: str, k: int) -> Column:
 
 def balanced_key_folds(df: DataFrame, k: int = 5, seed: int = SEED, key: str = KEY) -> DataFrame:
     keys = df.select(TYPE, key).dropna().distinct().withColumn("_h", hash_order(seed, F.col(key)))
-    ranked = row_number_by_cell(keys, TYPE, hash_cell(F.col("_h")), [F.col("_h"), F.col(key)], "_rn", "_tot")
+    ranked = row_number_by_cell(keys, TYPE, hash_cell(F.col("_h"), keys.count()), [F.col("_h"), F.col(key)], "_rn", "_tot")
     return ranked.select(TYPE, key, tile(F.col("_rn"), F.col("_tot"), k).alias(FOLD))
 
 

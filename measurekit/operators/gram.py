@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..columns import FOLD, REPEAT, Y
 from ..dist import as_list, join_small, order_statistics
+from ..functions.scalars import finite
 
 CHUNK = 4096
 FLUSH_BYTES = 256 << 20
@@ -52,14 +54,15 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[
 
 def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str], target: str = Y,
               weight: str | None = None, like: Gram | None = None) -> Gram:
-    """Moments of labelled rows. ``folds`` names one fold column per repeat.
+    """Moments of labelled rows with a key; NaN and infinite features count as missing. ``folds`` names one fold column per repeat.
 
     ``like`` reuses another Gram's layout, so that the two can be added.
     """
     by, features = as_list(by), list(features)
-    df = df.filter(F.col(target).isNotNull()).select(
+    on_a_side = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in folds], finite(F.col(target)).isNotNull())
+    df = df.filter(on_a_side).select(
         *by, *folds, F.col(target).cast("double").alias(target),
-        *[F.col(c).cast("double").alias(c) for c in features if c != target],
+        *[finite(F.col(c)).alias(c) for c in features if c != target],
         *([F.col(weight).cast("double").alias(weight)] if weight else []))
     if like is None:
         means, gaps = column_means(df, [target, *features])
@@ -121,8 +124,8 @@ def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, targe
     if not gram.missing:
         return {}
     by, side = gram.by, [*gram.by, REPEAT, FOLD, "j"]
-    cols = {j: F.col(c).cast("double") for j, c in enumerate(gram.missing)}
-    rows = df.filter(F.col(target).isNotNull()).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
+    cols = {j: finite(F.col(c)) for j, c in enumerate(gram.missing)}
+    rows = df.filter(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in folds], finite(F.col(target)).isNotNull())).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
     for half in (0.02, 0.15, None):
         if half is None:
             held = rows.withColumns({f"_b{j}": F.array(F.lit(float("-inf")), F.lit(float("inf"))) for j in cols})

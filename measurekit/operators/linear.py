@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..columns import FOLD, MODEL, PRED, REPEAT, TYPE, Y
 from ..dist import SMALL_ROWS, as_list, join_small, settled
+from ..functions.scalars import finite
 from .folds import fold_names
 from .gram import Gram, Moments, filled, fold_gram, train_medians
 
@@ -198,9 +199,9 @@ def dot(model: Column, features: Sequence[str]) -> Column:
     if len(features) <= CODEGEN_FEATURES:
         out = model["b0"]
         for j, c in enumerate(features):
-            out = out + model["coefs"][j] * F.coalesce(F.col(c).cast("double"), model["fill"][j])
+            out = out + model["coefs"][j] * F.coalesce(finite(F.col(c)), model["fill"][j])
         return out
-    xs = F.array(*[F.col(c).cast("double") for c in features])
+    xs = F.array(*[finite(F.col(c)) for c in features])
     terms = F.zip_with(F.zip_with(xs, model["fill"], lambda x, f: F.coalesce(x, f)), model["coefs"],
                        lambda x, b: x * b)
     return model["b0"] + F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)

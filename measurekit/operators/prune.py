@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dist import exact_quantiles, join_small
+from ..functions.scalars import finite
 from .gram import CHUNK, column_means
 
 VAR_FLOOR = 1e-6
@@ -21,7 +22,7 @@ CORR_CEIL = 0.98
 def feature_variances(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> DataFrame:
     """``(feature, variance)`` over the non-null values, all columns in one aggregate."""
     fn = F.var_samp if ddof == 1 else F.var_pop
-    row = df.agg(*[fn(c).alias(c) for c in cols])
+    row = df.agg(*[fn(finite(F.col(c))).alias(c) for c in cols])
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("variance")) for c in cols])).alias("v")).select("v.*")
 
@@ -41,6 +42,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     and ``Q = Z*Z``, the four products ``Z'Z, Z'P, Q'P, P'P`` hold every pairwise sum.
     """
     cols = list(cols)
+    df = df.select(*[finite(F.col(c)).alias(c) for c in cols])
     means, _ = column_means(df, cols)
     shift, p = np.array(means), len(cols)
 
@@ -67,8 +69,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return pd.DataFrame({"pos_i": i, "pos_j": j, "i": np.array(cols)[i], "j": np.array(cols)[j],
                              "r": pd.Series(r[i, j]).astype(object).where(~np.isnan(r[i, j]), None)})
 
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    summed = data.mapInPandas(partials, "chunk int, m array<double>").groupBy("chunk").agg(
+    summed = df.mapInPandas(partials, "chunk int, m array<double>").groupBy("chunk").agg(
         vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
     return summed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
         pairs, "pos_i int, pos_j int, i string, j string, r double")
@@ -103,7 +104,7 @@ def common_columns(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def medians(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
     """``(by, feature, median)``, exact at any size."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("x")) for c in cols])
     keys = [by] if by else []
     long = df.select(*keys, F.explode(cells).alias("v")).select(*keys, "v.*")
     return exact_quantiles(long, [*keys, "feature"], "x", [0.5]).withColumnRenamed("q0", "median")
@@ -114,41 +115,35 @@ def impute_median(train: DataFrame, df: DataFrame, cols: Sequence[str], by: str
     med = medians(train, cols, by)
     if by is None:
         got = {r["feature"]: r["median"] for r in med.collect()}
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(got.get(c)).cast("double")) for c in cols})
+        return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(got.get(c)).cast("double")) for c in cols})
     wide = med.groupBy(by).pivot("feature", list(cols)).agg(F.first("median"))
     wide = wide.select(by, *[F.col(f"`{c}`").alias(f"_med_{c}") for c in cols])
     out = join_small(df, wide, by, "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
+    return out.withColumns({c: F.coalesce(finite(F.col(c)), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])
 
 
 def scale_stats(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and ddof-0 std per column; a zero std counts as 1."""
-    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    row = train.agg(*[F.avg(finite(F.col(c))).alias(f"m_{c}") for c in cols],
+                    *[F.stddev_pop(finite(F.col(c))).alias(f"s_{c}") for c in cols]).first()
     return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in cols}
 
 
 def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     st = scale_stats(train, cols)
-    return df.withColumns({c: (F.col(c) - F.lit(st[c][0])) / F.lit(st[c][1]) for c in cols if st[c][0] is not None})
+    return df.withColumns({c: (finite(F.col(c)) - F.lit(st[c][0])) / F.lit(st[c][1]) for c in cols if st[c][0] is not None})
 
 
 def pooled_scaler(train: DataFrame, ref: DataFrame, cols: Sequence[str]):
     """Imputer and scaler fitted once on train and corpus together; apply to anything."""
     pool = train.select(*cols).unionByName(ref.select(*cols))
     med = {r["feature"]: r["median"] for r in medians(pool, cols).collect()}
-    fill = lambda d: d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")) for c in cols})
+    fill = lambda d: d.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(med.get(c)).cast("double")) for c in cols})
     st = scale_stats(fill(pool), cols)
     return lambda d: fill(d).withColumns({c: (F.col(c) - F.lit(st[c][0])) / F.lit(st[c][1]) for c in cols})
 
 
-def constant_columns(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """``(by.., feature)`` of columns without spread on a side, ignoring nulls."""
-    agg = df.groupBy(*by).agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in cols])
-    cells = F.array(*[F.when(F.col(c), F.lit(c)) for c in cols])
-    return agg.select(*by, F.explode(F.filter(cells, lambda v: v.isNotNull())).alias("feature"))
-
-
 def constant_in_training(df: DataFrame, cols: Sequence[str], by: str, fold: str) -> DataFrame:
     """``(by, fold, feature)`` of columns constant on the training side of that fold only or more."""
     per = df.groupBy(by, fold).agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
@@ -164,7 +159,7 @@ def constant_in_training(df: DataFrame, cols: Sequence[str], by: str, fold: str)
 def univariate_scores(df: DataFrame, cols: Sequence[str], target: str, by: str) -> DataFrame:
     """``(by, feature, r2, f)``: squared correlation with the target and its F statistic."""
     n = F.count(target)
-    agg = df.groupBy(by).agg(n.alias("n"), *[F.corr(c, target).alias(c) for c in cols])
+    agg = df.groupBy(by).agg(n.alias("n"), *[F.corr(finite(F.col(c)), finite(F.col(target))).alias(c) for c in cols])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * F.col(c)).alias("r2")) for c in cols])
     return agg.select(by, "n", F.explode(cells).alias("v")).select(
         by, "v.*", (F.col("v.r2") / F.nullif(1 - F.col("v.r2"), F.lit(0.0)) * (F.col("n") - 2)).alias("f"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, KEY, MODEL, PRED, REPEAT, ROW, TYPE, Y
@@ -123,11 +126,12 @@ def _(spark, d):
 
 @query("bagged_refit", "L18 L11")
 def _(spark, d):
+    """Final forests of every type on all its training rows, averaged over seed offsets."""
     tr, sc = scoring_side(items(spark, d))
-    tr, sc = tr.withColumn(TYPE, F.lit("all")), sc.withColumn(TYPE, F.lit("all"))
-    spec = {**trees.PRESETS["forest"], "numTrees": 5, "maxDepth": 4}
-    [p] = trees.tree_fit_predict(tr, [sc], ["x1", "x2", "x3"], spec, "forest", seeds=(42, 43))
-    return rounds(evaluate.nested_score(p, "pred_forest"), "r2", "rmse", digits=3)
+    spec = {**trees.PRESETS["forest"], "numTrees": 40}
+    parts = [trees.tree_fit_predict(tr.filter(F.col(TYPE) == t), [sc.filter(F.col(TYPE) == t)], ["x1", "x2", "x3"], spec, "forest",
+                                    seeds=(42, 43, 44))[0] for t in ITEM_TYPES]
+    return rounds(evaluate.nested_score(reduce(DataFrame.unionByName, parts), "pred_forest"), "r2", "rmse", digits=3)
 
 
 @query("gated_stack_column", "L19", cte("m_items", *MATRIX, "mm as (select * exclude (repeat, fold) from m)", sql_long("g", "mm", 3),

@@ -13,6 +13,7 @@ from ..columns import KEY, PRED, ROW, TYPE, Y
 from ..functions.scalars import finite
 
 SPREAD_BELOW = 1 << 30
+ROWS_PER_FILE = 5_000_000
 CODE_VERSION = "1"   # part of every materialisation key; raise when feature code changes
 
 
@@ -38,6 +39,12 @@ def _mapped(df: DataFrame, mapping: Mapping[str, str]) -> list:
     return [F.expr(expr).alias(name) for name, expr in mapping.items()]
 
 
+def _finite(df: DataFrame) -> DataFrame:
+    """NaN and infinities of every floating column become null."""
+    return df.withColumns({f.name: finite(F.col(f.name)).cast(f.dataType) for f in df.schema.fields
+                           if f.dataType.typeName() in ("float", "double")})
+
+
 def read_measurements(spark: SparkSession, path: str, mapping: Mapping[str, str],
                       schema: T.StructType | str | None = None) -> DataFrame:
     """Long labelled table. ``mapping`` gives the SQL expression of each standard column."""
@@ -45,7 +52,7 @@ def read_measurements(spark: SparkSession, path: str, mapping: Mapping[str, str]
     if missing:
         raise ValueError(f"mapping lacks {sorted(missing)}")
     df = read_table(spark, path, schema)
-    return df.select(*_mapped(df, mapping)).withColumn(Y, finite(F.col(Y)))
+    return _finite(df.select(*_mapped(df, mapping)).withColumn(Y, F.col(Y).cast("double")))
 
 
 def read_scoring(spark: SparkSession, path: str, mapping: Mapping[str, str],
@@ -55,7 +62,7 @@ def read_scoring(spark: SparkSession, path: str, mapping: Mapping[str, str],
     if missing:
         raise ValueError(f"mapping lacks {sorted(missing)}")
     df = read_table(spark, path, schema)
-    return df.select(*_mapped(df, mapping)).withColumn(Y, F.lit(None).cast("double"))
+    return _finite(df.select(*_mapped(df, mapping))).withColumn(Y, F.lit(None).cast("double"))
 
 
 def resolve_column(columns: Sequence[str], exact: str, contains: str) -> str:
@@ -85,9 +92,13 @@ def write_predictions(df: DataFrame, path: str, id_col: str = ROW, pred: str = P
 def write_stage(df: DataFrame, path: str, by: str = TYPE) -> DataFrame:
     """Persist an intermediate table partitioned by type and read it back.
 
-    Rows are spread inside a type before the write, so that one large type is
-    written by many tasks.
+    Rows are spread over as many buckets of their type as its count needs, so that one
+    large type is written by many tasks and a small one makes one file.
     """
+    from ..dist import as_list, join_small
+    sizes = df.groupBy(*as_list(by)).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
+    spread_ = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"]), F.coalesce("_files", F.lit(1)))
+    df = join_small(df, sizes, by, "left").withColumn("_bucket", spread_).repartition(by, "_bucket").select(*df.columns)
     df.write.mode("overwrite").partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(
         T.StructType([f for f in df.schema.fields if f.name != by] + [df.schema[by]])).parquet(path)
@@ -130,13 +141,16 @@ def materialize(df: DataFrame, source: DataFrame, folder: str, params: str = "")
 def attach_predictions(df: DataFrame, external: DataFrame, pred: str = PRED) -> DataFrame:
     """Externally computed predictions joined by row id, kept only for fully covered types.
 
-    A type with any uncovered row has the column nulled and ``covered`` false.
+    A type with any uncovered row has the column nulled and ``covered`` false. An id that comes
+    with several different predictions covers nothing; rows without a type are kept, uncovered.
     """
     from ..dist import join_small
-    ext = external.groupBy(ROW).agg(F.min(F.col(pred).cast("double")).alias(pred))
+    value = finite(F.col(pred))
+    ext = external.groupBy(ROW).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias(pred))
     joined = df.drop(pred).join(ext, ROW, "left")
     cover = joined.groupBy(TYPE).agg((F.count(pred) == F.count(F.lit(1))).alias("covered"))
-    return join_small(joined, cover, TYPE).withColumn(pred, F.when(F.col("covered"), F.col(pred)))
+    return join_small(joined, cover, TYPE, "left").withColumn("covered", F.coalesce("covered", F.lit(False))).withColumn(
+        pred, F.when(F.col("covered"), F.col(pred)))
 
 
 def check_output(df: DataFrame, template: Sequence[str], scoring: DataFrame) -> DataFrame:

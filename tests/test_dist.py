@@ -34,8 +34,10 @@ def test_quantiles_mixed_group_sizes_and_nulls(spark):
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(3000).select(F.when(F.col("id") < 1500, 1).when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 97).alias("k"), "id")
     right = spark.range(0, 90, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert dist.hot_keys(left, "k", share=0.1, min_rows=10).count() == 1
-    a = dist.join_salted(left, right, "k", how, share=0.1, min_rows=10, salts=5)
+    hot = dist.hot_keys(left, "k", rows=100).collect()
+    assert [(r["k"], r["_salts"]) for r in hot] == [(1, 16)]
+    assert dist.hot_keys(left, "k", rows=5000) is None
+    a = dist.join_salted(left, right, "k", how, rows=100)
     b = left.join(right, "k", how)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
@@ -55,3 +57,20 @@ def test_cell_ranks_and_tiles_match_windows(spark, k):
     got = got.withColumn("t", dist.tile(F.col("rn"), F.col("tot"), k))
     want = df.selectExpr("g", "h", "row_number() over (partition by g order by h) rn", f"ntile({k}) over (partition by g order by h) - 1 as t")
     assert sorted(map(tuple, got.select("g", "h", "rn", "t").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_salted_join_spreads_rows_without_a_key(spark, how):
+    left = spark.range(2000).select(F.when(F.col("id") < 200, F.col("id") % 7).alias("k"), "id")
+    right = spark.range(5).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    a, b = dist.join_salted(left, right, "k", how, rows=100), left.join(right, "k", how)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_samples_are_exact_whatever_the_threshold(spark):
+    from measurekit.functions.hashing import hash_order
+    from measurekit.operators.clean import sample_n
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"))
+    order = [r["k"] for r in df.distinct().orderBy(hash_order(5, F.col("k")), "k").collect()]
+    for n in (0, 1, 10, 990, 1000, 2000):
+        assert sorted(r["k"] for r in sample_n(df, "k", n, 5).collect()) == sorted(order[:n])
