@@ -21,8 +21,8 @@ MODEL_NUMBERS = 20_000_000      # most numbers a model table may bring to the dr
 FULL = -1
 
 # A model is described by a plain mapping:
-#   kind      mean | ridge | nonneg | enet | ridge_cv
-#   alpha     penalty; ``alphas`` for ridge_cv; ``l1`` share for enet
+#   kind      mean | ridge | nonneg | enet | ridge_cv (folds) | ridge_gcv (leave-one-out, generalised)
+#   alpha     penalty; ``alphas`` for ridge_cv and ridge_gcv; ``l1`` share for enet
 #   scale     standardise with training statistics first
 #   select    keep this many features by univariate F, or "adaptive"
 #   only      use these features alone; a list, or a mapping type -> list
@@ -67,16 +67,25 @@ def nonneg_ridge(g: np.ndarray, c: np.ndarray, alpha: float) -> np.ndarray:
 
 def elastic_net(g: np.ndarray, c: np.ndarray, n: float, alpha: float, l1: float) -> np.ndarray:
     """Coordinate descent on ``1/(2n)|y-Xw|^2 + alpha l1 |w|_1 + alpha (1-l1)/2 |w|^2``."""
-    w = np.zeros(len(c))
-    for _ in range(2000):
+    w, left = np.zeros(len(c)), c.astype(float).copy()   # left: c - g @ w
+    diag = np.diag(g)
+
+    def sweep(at: np.ndarray) -> float:
         moved = 0.0
-        for j in range(len(c)):
-            rho = (c[j] - g[j] @ w + g[j, j] * w[j]) / n
-            new = np.sign(rho) * max(abs(rho) - alpha * l1, 0.0) / (g[j, j] / n + alpha * (1 - l1))
-            moved = max(moved, abs(new - w[j]))
-            w[j] = new
-        if moved < 1e-10:
+        for j in at:
+            rho = (left[j] + diag[j] * w[j]) / n
+            new = np.sign(rho) * max(abs(rho) - alpha * l1, 0.0) / (diag[j] / n + alpha * (1 - l1))
+            if new != w[j]:
+                np.subtract(left, g[j] * (new - w[j]), out=left)
+                moved, w[j] = max(moved, abs(new - w[j])), new
+        return moved
+
+    for _ in range(200):   # coordinates at zero are looked at once the others have settled
+        if sweep(np.arange(len(c))) < 1e-10:
             break
+        for _ in range(2000):
+            if sweep(np.flatnonzero(w)) < 1e-10:
+                break
     return w
 
 
@@ -103,6 +112,20 @@ def _solve(s: Moments, spec: Spec, alpha: float, allowed: np.ndarray | None = No
     return s.y_mean - float(s.mean @ b), b
 
 
+def _gcv_alpha(s: Moments, spec: Spec, allowed: np.ndarray | None) -> float:
+    """Penalty with the least generalised cross-validation error ``n SSE / (n - tr H)^2`` of one side."""
+    live = np.flatnonzero(s.var > 0 if allowed is None else (s.var > 0) & allowed)
+    d = np.sqrt(s.var[live] / max(s.n, 1.0)) if spec.get("scale") else np.ones(len(live))
+    eig = np.maximum(np.linalg.eigvalsh(s.cov[np.ix_(live, live)] / np.outer(d, d)), 0.0) if len(live) else np.zeros(0)
+    best, least = float(spec["alphas"][0]), np.inf
+    for alpha in map(float, spec["alphas"]):
+        free = s.n - 1 - float((eig / np.maximum(eig + alpha, 1e-300)).sum())
+        err = s.n * s.sse(*_solve(s, spec, alpha, allowed)) / free ** 2 if free > 0 else np.inf
+        if err < least:
+            best, least = alpha, err
+    return best
+
+
 def _pick_alpha(parts: list[np.ndarray], total: np.ndarray, spec: Spec, allowed: np.ndarray | None) -> float:
     """Penalty with the least mean squared error over the given folds."""
     best, least = None, np.inf
@@ -169,7 +192,8 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
             held = Moments(filled(parts[f], p, at, off)) if f != FULL else None
             for name, spec in specs.items():
                 use = allowed(spec, key)
-                alpha = _pick_alpha(inner, side, spec, use) if spec["kind"] == "ridge_cv" else float(spec.get("alpha", 0.0))
+                alpha = (_pick_alpha(inner, side, spec, use) if spec["kind"] == "ridge_cv" else
+                         _gcv_alpha(s, spec, use) if spec["kind"] == "ridge_gcv" else float(spec.get("alpha", 0.0)))
                 b0, b = _solve(s, spec, alpha, use)
                 rows.append([*key, rep, f, name, s.n, alpha, b0 + shift[0] - float(shift[1:] @ b), b.tolist(),
                              (b * np.sqrt(s.var / max(s.n, 1.0))).tolist(), fill.tolist(), held.n if held else None, held.sse(b0, b) if held else None,

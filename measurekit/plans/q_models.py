@@ -159,6 +159,53 @@ def _(spark, d):
         "narrow_grid": {"kind": "ridge_cv", "alphas": [10 ** (-2 + 4 * i / 19) for i in range(20)], "scale": True}})
 
 
+_CV_ALPHAS = [100.0, 100000.0, 400000.0, 2000000.0]
+_SIDES = ["""s as (select target_type, fold, count(*)::double n, sum(x1) sx, sum(target) sy, sum(x1*x1) sxx, sum(x1*target) sxy, sum(target*target) syy
+  from a_f group by all)""", """t as (select target_type, sum(n) n, sum(sx) sx, sum(sy) sy, sum(sxx) sxx, sum(sxy) sxy, sum(syy) syy from s group by 1)""",
+  """side as (select target_type, -1 as fold, n, sx, sy, sxx, sxy, syy from t union all
+  select t.target_type, s.fold, t.n-s.n, t.sx-s.sx, t.sy-s.sy, t.sxx-s.sxx, t.sxy-s.sxy, t.syy-s.syy from t join s using (target_type))""",
+  f"""al as (select unnest(range({len(_CV_ALPHAS)}))::int as i, unnest({_CV_ALPHAS}::double[]) as alpha)""",
+  """fit as (select q.target_type, q.fold, i, alpha, h.n hn, h.sx hx, h.sy hy, h.sxx hxx, h.sxy hxy, h.syy hyy, q.n-h.n n, q.sx-h.sx sx, q.sy-h.sy sy,
+  ((q.sxy-h.sxy) - (q.sx-h.sx)*(q.sy-h.sy)/(q.n-h.n)) / ((q.sxx-h.sxx) - power(q.sx-h.sx, 2)/(q.n-h.n) + alpha) as b
+  from side q join s h on h.target_type = q.target_type and h.fold <> q.fold, al)""",
+  """folded as (select target_type, fold, i, alpha, sum((hyy - 2*b0*hy - 2*b*hxy + hn*b0*b0 + 2*b0*b*hx + b*b*hxx)/hn) as err
+  from (select *, (sy - b*sx)/n as b0 from fit) group by all)""",
+  """left_out as (select target_type, fold, i, alpha, n*(syc - 2*b*sxc + b*b*xc)/power(n - 1 - xc/(xc+alpha), 2) as err from
+  (select *, sxc/(xc+alpha) as b from (select *, sxx-sx*sx/n as xc, sxy-sx*sy/n as sxc, syy-sy*sy/n as syc from side), al))""",
+  """pick as (select 'folded' as model, target_type, fold, arg_min(alpha, err) as alpha from folded group by all
+  union all select 'left_out', target_type, fold, arg_min(alpha, err) from left_out group by all)"""]
+
+
+@query("ridge_cv_one_feature", "K3", cte("m_items", sql_long("a", "m_items", 1), *_SIDES) + f"""
+select model, target_type, p.fold, alpha, {r6('(sxy-sx*sy/n)/(sxx-sx*sx/n+alpha)', 'b1')} from pick p join side using (target_type, fold)""")
+def _(spark, d):
+    """Penalties chosen inside each training side, by folds and by generalised leave-one-out error."""
+    m = fold_columns(items(spark, d), 5, 1)
+    out = fit_linear(m, ["x1"], {"folded": {"kind": "ridge_cv", "alphas": _CV_ALPHAS}, "left_out": {"kind": "ridge_gcv", "alphas": _CV_ALPHAS}})
+    return rounds(out.select(MODEL, TYPE, FOLD, "alpha", F.col("coefs")[0].alias("b1")), "b1")
+
+
+@query("nonnegative_two_features", "K4", cte("m_items", sql_long("a", "m_items", 1), *sql_linear2("o", "a_f", "x1", "x2", 1.0), """
+c as (select target_type, fold, n, s1, s2, sy, b1 as w1, b2 as w2, case when b1 >= 0 and b2 >= 0 then -(u*b1 + v*b2) else 1e300 end as f from o_b
+ union all select target_type, fold, n, s1, s2, sy, u/a, 0.0, case when u >= 0 then -u*u/a else 1e300 end from o_b
+ union all select target_type, fold, n, s1, s2, sy, 0.0, v/d, case when v >= 0 then -v*v/d else 1e300 end from o_b
+ union all select target_type, fold, n, s1, s2, sy, 0.0, 0.0, 0.0 from o_b)""", """
+w as (select *, row_number() over (partition by target_type, fold order by f) as r from c)""") + f"""
+select target_type, fold, {r6('(sy-w1*s1-w2*s2)/n', 'b0')}, {r6('w1', 'b1')}, {r6('w2', 'b2')} from w where r = 1""")
+def _(spark, d):
+    out = fit_linear(fold_columns(items(spark, d), 5, 1), ["x1", "x2"], {"nonneg": {"kind": "nonneg", "alpha": 1.0}})
+    return rounds(out.select(TYPE, FOLD, "b0", F.col("coefs")[0].alias("b1"), F.col("coefs")[1].alias("b2")), "b0", "b1", "b2")
+
+
+@query("elastic_net_one_feature", "K5", cte("m_items", sql_long("a", "m_items", 1), *sql_linear("o", "a_f", "x1"), """
+q as (select *, sqrt((sxx-sx*sx/n)/n) as d, (sxy-sx*sy/n)/n as c from o_t)""", """
+w as (select *, sign(c/d)*greatest(abs(c/d) - 5.0*0.4, 0)/(1 + 5.0*0.6)/d as slope from q)""") + f"""
+select target_type, fold, {r6('(sy-slope*sx)/n', 'b0')}, {r6('slope', 'b1')} from w""")
+def _(spark, d):
+    out = fit_linear(fold_columns(items(spark, d), 5, 1), ["x1"], {"enet": {"kind": "enet", "alpha": 5.0, "l1": 0.4, "scale": True}})
+    return rounds(out.select(TYPE, FOLD, "b0", F.col("coefs")[0].alias("b1")), "b0", "b1")
+
+
 @query("nonnegative_ridge", "K4")
 def _(spark, d):
     return _model_rows(spark, d, {"nonneg": {"kind": "nonneg", "alpha": 1.0}})

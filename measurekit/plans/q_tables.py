@@ -77,13 +77,16 @@ def _(spark, d):
 
 
 @query("attach_external_predictions", "A8", I + f""",
-ext as (select row_id, min(target + 1) as pred from m_items where not (target_type = 'AF' and line = 3) group by 1),
+raw as (select row_id, supp + 1.5 * entity as pred from m_items where not (target_type = 'AF' and line = 3)
+  union all select row_id, -1.0 from m_items where target_type = 'RO' and line = 2),
+ext as (select row_id, case when min(pred) = max(pred) then min(pred) end as pred from raw group by 1),
 j as (select m.row_id, m.target_type, e.pred from m_items m left join ext e using (row_id)),
 c as (select target_type, count(pred) = count(*) as covered from j group by 1)
 select row_id, target_type, covered, {r6('case when covered then pred end', 'pred')} from j join c using (target_type)""")
 def _(spark, d):
     m = items(spark, d)
-    ext = m.filter(~((F.col(TYPE) == "AF") & (F.col("line") == 3))).select(ROW, (F.col(Y) + 1).alias(PRED))
+    ext = m.filter(~((F.col(TYPE) == "AF") & (F.col("line") == 3))).select(ROW, (F.col("supp") + 1.5 * F.col(KEY)).alias(PRED))
+    ext = ext.union(m.filter((F.col(TYPE) == "RO") & (F.col("line") == 2)).select(ROW, F.lit(-1.0)))
     return tables.attach_predictions(m.select(ROW, TYPE), ext).select(
         ROW, TYPE, "covered", rounded(F.col(PRED)).alias(PRED))
 
