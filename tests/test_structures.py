@@ -147,3 +147,26 @@ def test_stream_scores_like_a_batch(spark, sf, tmp_path):
     a = spark.read.parquet(out).toPandas().sort_values(["row_id", "pred"])
     b = score_stream(spark.read.parquet(src), models, ["x1", "x2"], "r", bounds).toPandas().sort_values(["row_id", "pred"])
     assert len(a) == m.count() and np.allclose(a.pred.values, b.pred.values)
+
+
+def test_cells_leave_most_pairs_uncompared(spark, monkeypatch):
+    """Exact answers while clustered references keep queries out of far cells."""
+    from measurekit.operators.similarity import Cells
+    rng = np.random.default_rng(9)
+    centres = rng.normal(scale=50, size=(12, 4))
+    pts = np.concatenate([c + rng.normal(size=(60, 4)) for c in centres])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = similarity.neighbours(df, "id", "v", df, "id", "v", 4, exclude_self=True, block_rows=30).toPandas()
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :4]
+    have = got.assign(q=got.qid.astype(int)).sort_values(["q", "rank"])["distance"].to_numpy().reshape(-1, 4)
+    np.testing.assert_allclose(have, want, atol=1e-9)
+    refs = df.selectExpr("cast(id as string) as rid", "'' as grp", "'r' as part", "v as vec", "0.0 as payload")
+    cells, dealt = similarity._cells(refs, len(pts), "euclidean", 0, 30)
+    held = {(r["cell"], r["block"]): r["n"] for r in dealt.groupBy("cell", "block").agg(F.count("*").alias("n")).collect()}
+    vec, grp = pd.Series(list(pts)), pd.Series([""] * len(pts))
+    visits = cells.visits(vec, grp, None), cells.visits(vec, grp, pd.Series(want[:, 3]))
+    compared = sum(held[v["cell"], v["block"]] for round_ in visits for q in round_ for v in q)
+    assert compared < 0.5 * len(pts) ** 2
+    assert isinstance(cells, Cells)
