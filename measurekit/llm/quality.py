@@ -21,11 +21,12 @@ from .common import SPACES, fresh
 SYMBOLS = "#*$%&|<>"
 CHUNK = 2048
 LEVEL = 3
-#: (least bytes, lowest ratio, highest ratio) of a whole text. Below the first band nothing is judged.
-BANDS = ((128, .36, 1.02), (256, .34, .95), (512, .31, .88), (1024, .28, .82), (2048, .26, .78), (4096, .25, .76),
-         (16384, .23, .74), (65536, .20, .74))
+#: (least bytes, lowest ratio, highest ratio) of a whole text; below the first band nothing is judged.
+#: The low limits are about three quarters of what prose of the length compresses to.
+BANDS = ((128, .45, 1.02), (256, .42, .95), (512, .40, .88), (1024, .37, .82), (2048, .35, .78), (4096, .34, .76),
+         (16384, .31, .74), (65536, .28, .74))
 #: The same for one full chunk; a text goes when more than this share of its chunks lies outside.
-CHUNK_LIMITS = (.22, .80)
+CHUNK_LIMITS = (.30, .80)
 CHUNK_SHARE = .5
 FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "ratio double, low_chunks long, high_chunks long, n_chunks long")
