@@ -167,7 +167,7 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: DataFram
         *by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_in", "_rank"))
     inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
     left = None
-    for _ in range(12):
+    while True:   # every round shrinks some bracket, or is the last
         wide = state.filter((F.col("_in") > group_rows) & (F.col("_lo") < F.col("_hi")))
         now = tuple(wide.agg(F.count(F.lit(1)), F.sum("_in")).first())
         if now[0] == 0 or now == left:

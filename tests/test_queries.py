@@ -1,32 +1,15 @@
 """Every registered query runs; those with a SQL oracle agree with it."""
-import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from compare import canon, connected
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-          "conversations").split()
-SLOW = {"dense_chain_verdicts", "per_type_process", "whole_run", "pseudo_label_two_rounds", "text_embedding", "pca_density"}
+SLOW = {"dense_chain_verdicts", "per_type_process", "whole_run", "text_embedding"}   # minutes each; run by scripts/check_queries.py
 
 
 @pytest.fixture(scope="module")
 def con(sf):
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    return c
-
-
-def text(v):
-    if v is None or v is pd.NA or v != v:
-        return "null"
-    return f"{float(v) + 0.0:.8g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-
-
-def canon(df):
-    df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
+    return connected(sf)
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
