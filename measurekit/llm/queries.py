@@ -62,10 +62,10 @@ QUERIES: dict[str, Run] = {f.__name__: f for f in (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
-with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+with recursive w as (select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+') if x <> ''] as w
   from documents),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-  else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) end) as g from w),
+  else [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] end) as g from w),
 n as (select doc_id, count(*) as n from s group by 1),
 p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 links as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)),
