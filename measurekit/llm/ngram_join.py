@@ -12,8 +12,9 @@ into ``m`` segments, ``m`` set by the band of sizes; a set's part in one segment
   wherever a set can afford it, and two linked sets still share one of the rest.
 
 Both spend the same allowance; which costs less rows per set decides the band's form. Shared
-tokens bring candidates; a bound from 256-bit parity sketches (the sketches of two sets differ in
-no more bits than the sets in elements) drops most, and whole texts decide the rest exactly.
+tokens bring candidates; a bound from parity sketches (the sketches of two sets differ in no more
+bits than the sets in elements) drops most, first with 256 bits in the join, then with two bits an
+element, and whole texts decide the rest exactly.
 
 Equal sets are one node. Near copies meet the least node of their token first, so a group of
 copies costs as many pairs as it has nodes; only nodes then still in different components are
@@ -39,7 +40,7 @@ GROWTH = 1.5          # upper bound of a band by its lower one
 SPARE = .1            # share of a band's needed tokens added as spare ones
 BROADCAST_IDS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-T_SCHEMA = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, bands array<int>, tokens array<array<long>>"
+T_SCHEMA = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, sketch binary, bands array<int>, tokens array<array<long>>"
 
 
 def allowed(k: int, l: int, percent: int) -> int:
@@ -121,6 +122,20 @@ def tokens(g: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(g: np.ndarray) -> np.ndarray:
+    """Parity bits of a set in 64-bit words, two bits or more for an element. Halving it by XOR gives the smaller sketch."""
+    width = max(SKETCH_BITS, 1 << (2 * len(g) - 1).bit_length())
+    at = ((g >> np.uint64(7)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, folded to the shorter: the sets differ in as many elements at least."""
+    n = min(len(a), len(b))
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+
+
 def _set_rows(size: int, percent: int):
     def rows(batches):
         bands, known = Bands(percent), {}
@@ -131,15 +146,16 @@ def _set_rows(size: int, percent: int):
                     known.clear()
                 g = hashed_grams(words_of(text), size, known)
                 if not len(g):
-                    out.append((doc, 0, 0, 0, 0, 0, 0, 0, [], []))
+                    out.append((doc, 0, 0, 0, 0, 0, 0, 0, b"", [], []))
                     continue
-                bits = np.bincount((g >> np.uint64(7)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+                fine = sketch(g)
+                bits = np.bitwise_xor.reduce(fine.reshape(-1, SKETCH_BITS // 64), axis=0)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(g.tobytes()), np.int64)
                 own = list(bands.of(len(g))) if doc is not None else []
-                out.append((doc, len(g), *digest.tolist(), *np.packbits(bits.astype(np.uint8)).view(np.int64).tolist(), own,
+                out.append((doc, len(g), *digest.tolist(), *bits.view(np.int64).tolist(), fine.tobytes(), own,
                             [tokens(g, i, bands).view(np.int64) for i in own]))
-            cols = list(zip(*out)) if out else [()] * 10
-            kinds = [pa.int64()] * 8 + [pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
+            cols = list(zip(*out)) if out else [()] * 11
+            kinds = [pa.int64()] * 8 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
             names = [f.split()[0] for f in T_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
     return rows
@@ -170,7 +186,7 @@ def index(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     common = flat.join(often, "sig")
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("f"), F.desc("sig")))
     used = common.withColumn("skip", F.element_at(spare, F.col("band") + 1)).withColumn("at", place).filter("at > skip").select("sig", "node")
-    return used.join(sets.select(F.col("doc_id").alias("node"), "n", *BITS).dropDuplicates(["node"]), "node")
+    return used.join(sets.select(F.col("doc_id").alias("node"), "n", *BITS).distinct(), "node")
 
 
 def _close(l: str, r: str, percent: int) -> Column:
@@ -187,11 +203,11 @@ def _verified(size: int, percent: int):
     def rows(batches):
         last, left = None, None
         for b in batches:
-            src, dst = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = []
-            for i, (p, q) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                if src[i] != last:
-                    last, left = src[i], grams(words_of(p.as_py()), size)
+            for p, q in zip(b.column(2), b.column(3), strict=True):
+                text = p.as_py()
+                if text != last:   # pairs of one source follow one another
+                    last, left = text, grams(words_of(text), size)
                 right = grams(words_of(q.as_py()), size)
                 same = len(left & right)
                 ok.append(100 * same >= percent * (len(left) + len(right) - same))
@@ -200,8 +216,28 @@ def _verified(size: int, percent: int):
     return rows
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``src, dst`` whose whole texts are linked."""
+def _plausible(percent: int):
+    def rows(batches):
+        for b in batches:
+            src, dst, n, m = (b.column(i).to_pylist() for i in range(4))
+            keep = pa.array([differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= allowed(k, l, percent)
+                             for k, l, x, y in zip(n, m, b.column(4), b.column(5), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["src", "dst"])
+    return rows
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("doc_id")).union(pairs.select(F.col("dst").alias("doc_id"))).distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``src, dst`` that are linked: sketches as fine as the sets drop most others, whole texts decide."""
+    pairs = stored(pairs)
+    fine = sets.join(small(_ends(pairs)), "doc_id", "left_semi").select("doc_id", "n", *BITS, "sketch").dropDuplicates(["doc_id", "n", *BITS])
+    sides = pairs.join(fine.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("y")), "dst").join(
+        fine.select(F.col("doc_id").alias("src"), "n", F.col("sketch").alias("x")), "src")
+    pairs = stored(sides.select("src", "dst", "n", "m", "x", "y").mapInArrow(_plausible(percent), "src long, dst long").distinct())
+    texts = stored(docs.join(small(_ends(pairs)), "doc_id", "left_semi"))
     right = pairs.join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("q")), "dst")
     both = right.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("p")), "src")
     return both.select("src", "dst", "p", "q").mapInArrow(_verified(size, percent), "src long, dst long")
@@ -222,10 +258,9 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     real = sets.filter("n > 0 and doc_id is not null")
     nodes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
     idx = stored(index(real, nodes, percent))
-    texts = stored(plain.join(small(idx.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi"))
     pivot = idx.groupBy("sig").agg(F.min(F.struct("node", "n", *BITS)).alias("m")).select("sig", "m.*")
     star = idx.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.node") != F.col("p.node")).filter(_close("x", "p", percent))
-    links = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), texts, size, percent))
+    links = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
     rounds = [links]
     label = stored(_labels(links))
     while True:
@@ -238,26 +273,27 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
         wide = cross.count() > 4 * seen if seen else False
         if not wide:
             pairs = cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-            rounds.append(stored(verify(pairs, texts, size, percent)))
+            rounds.append(stored(verify(pairs, real, plain, size, percent)))
             break
         # many candidates between few groups: join them to one more pivot each before comparing all
         head = open_.groupBy("sig").agg(F.min("c").alias("lo"))
         rest = open_.join(head, "sig").filter("c > lo").drop("lo")
         pivot = rest.groupBy("sig").agg(F.min(F.struct("c", "node", "n", *BITS)).alias("m")).select("sig", "m.*")
         star = open_.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.c") != F.col("p.c")).filter(_close("x", "p", percent))
-        more = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), texts, size, percent))
+        more = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
         if more.isEmpty():
             pairs = cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-            rounds.append(stored(verify(pairs, texts, size, percent)))
+            rounds.append(stored(verify(pairs, real, plain, size, percent)))
             break
         rounds.append(more)
         label = stored(_labels(_all(rounds)))
     found = _all(rounds)
+    found = stored(found.distinct())
     ends = found.select(F.col("src").alias("node")).unionAll(found.select(F.col("dst").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     label = stored(_labels(found))
-    by_node = nodes.join(label, "node", "left").join(degree, "node", "left").select(
-        "d1", "d2", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_node = stored(nodes.join(label, "node", "left").join(degree, "node", "left").select(
+        "d1", "d2", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = sets.join(by_node, ["d1", "d2"], "left")
     named = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("c", "doc_id")).alias("component_id"),

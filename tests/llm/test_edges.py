@@ -87,6 +87,13 @@ def test_near_duplicates(docs, empty):
     assert ngram_join.clusters(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
+def test_texts_that_share_an_id_are_each_linked(spark):
+    a, b = words(300, 21), words(500, 22)
+    rows = [(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, words(300, 23))]
+    got = ngram_join.clusters(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
 def test_near_duplicates_at_the_threshold(spark, size, percent):
     """Chains of edits of every length, sizes from one word on: links just above and just below."""
