@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, stored
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -69,7 +69,8 @@ def drop_lists(docs: DataFrame, text: str, doc_id: str, min_chars: int, min_docs
     else:
         shared = lines.distinct().groupBy("h1", "h2").agg(
             F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    lost = lines.join(shared.select("h1", "h2", "owner"), ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
+    shared = stored(shared.select("h1", "h2", "owner"))   # by itself, so that the join reads plain shuffles and Spark can split a hot key
+    lost = lines.join(shared, ["h1", "h2"]).filter(F.col("doc") != F.col("owner"))
     return lost.groupBy("doc").agg(F.flatten(F.collect_set(F.array("h1", "h2"))).alias("drops"))
 
 
