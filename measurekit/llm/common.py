@@ -36,10 +36,20 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same with the folder written, for a table to be discarded once what it served is stored itself."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def word_count(text: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import fresh, stored
+from .common import discard, fresh, stored, stored_at
 
 SKETCH_BITS = 256
 SMALL = 40            # sizes up to here take one-deletion neighbours
@@ -254,10 +254,12 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     id get a null component and link nothing. Sets are told apart by 128-bit digests.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stored(plain.mapInArrow(_set_rows(size, percent), T_SCHEMA))
-    real = sets.filter("n > 0 and doc_id is not null")
+    wide, folder = stored_at(plain.mapInArrow(_set_rows(size, percent), T_SCHEMA))
+    sets, usable = stored(wide.drop("bands", "tokens")), "n > 0 and doc_id is not null"
+    real = sets.filter(usable)
     nodes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    idx = stored(index(real, nodes, percent))
+    idx = stored(index(wide.filter(usable), nodes, percent))
+    discard(docs.sparkSession, folder)   # the tokens, by far the largest table, live on in the index
     pivot = idx.groupBy("sig").agg(F.min(F.struct("node", "n", *BITS)).alias("m")).select("sig", "m.*")
     star = idx.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.node") != F.col("p.node")).filter(_close("x", "p", percent))
     links = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
