@@ -91,17 +91,19 @@ def _fit_shards(s: Settings):
     return rows
 
 
-def fit(labelled: DataFrame, s: Settings = Settings()) -> dict[int, float]:
-    """Weights by feature from ``doc_id, text, label``; empty when nothing is labelled.
+def fit(texts: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[int, float]:
+    """Weights by feature from ``doc_id, text`` and ``doc_id, label``; empty when nothing is labelled.
 
-    At most about ``max_rows`` rows are used, those with the least hashes of their id; a shard holds
-    its share of them in hashed order, so a rerun fits the same model.
+    About ``max_rows`` labels are used, those with the least hashes of their id; they are chosen
+    before any text is read and meet the texts by a broadcast that this bound keeps small. A shard
+    holds its share in hashed order, so a rerun fits the same model.
     """
     order = F.pmod(F.xxhash64("doc_id"), F.lit(2 ** 62))
-    rows = labelled.select("doc_id", "text", "label").filter("doc_id is not null and label is not null").withColumn("_o", order)
-    total = rows.count()
+    chosen = labels.withColumn("_o", order)
+    total = chosen.count()
     if total > s.max_rows:
-        rows = rows.filter(F.col("_o") < int(2 ** 62 * (s.max_rows / total)))
+        chosen = chosen.filter(F.col("_o") < int(2 ** 62 * (s.max_rows / total)))
+    rows = texts.join(F.broadcast(chosen), "doc_id")
     shards = max(1, min(total, s.max_rows) // s.shard_rows)
     dealt = rows.withColumn("_shard", F.pmod("_o", F.lit(shards))).repartition(shards, "_shard").sortWithinPartitions("_shard", "_o", "doc_id", F.xxhash64("text"))
     per_shard = stored(dealt.select("_shard", "text", F.col("label").cast("int")).mapInArrow(_fit_shards(s), "feature int, weight double"))
@@ -145,6 +147,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     texts = docs.select("doc_id", "text")
-    weights = fit(texts.join(known.filter(~held_out(F.col("doc_id"))), "doc_id"), s)
+    weights = fit(texts, known.filter(~held_out(F.col("doc_id"))), s)
     out = scored(texts, weights, s, "text", "score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= .5).cast("int").alias("predicted"))
