@@ -38,7 +38,7 @@ def op6_secret_scans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.with_quality(documents(spark, d).select("doc_id", "text"), name="q")
+    q = quality.with_quality(documents(spark, d).select("doc_id", "text", "lang"), name="q")
     return q.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                                   "base_failed", "kept", "ratio", "low_chunks", "high_chunks", "n_chunks")])
 
