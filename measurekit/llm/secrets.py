@@ -1,10 +1,11 @@
 """Secrets: patterns propose candidates, corpus-wide ownership tells live ones from copied examples.
 
-Every candidate value is hashed; the hashes are counted by distinct repositories (documents) and
-distinct owners (sources). A value that several owners hold is an example that was copied around;
-one that a single owner holds looks live. Column expressions and aggregates only; the counts go
-through (hash, owner, repository) and (hash, owner) first, so a value that a third of all
-documents hold is summed by many tasks.
+Every candidate value is hashed; the hashes are counted by distinct repositories (texts, so that
+copies of one document count once) and distinct owners (sources). A value that several texts of
+several owners hold, or many texts of a single owner, is an example that was copied around; one that
+few hold looks live, however often its document was copied. Column expressions and aggregates only; the
+counts go through (hash, text) and (hash, owner) first, so a value that a third of all documents hold
+is summed by many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{24,}+"
 GENERIC = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "generic")
-OWNERS = 2   # so many owners make a value an example
+OWNERS = 2         # an example has so many owners
+REPOSITORIES = 3   # and so many texts
+MANY = 20          # or so many texts, whoever owns them
+NAMED = "(?i)example"   # a value that says so itself needs the owners only
 
 
 def mixed_token(v: Column) -> Column:
@@ -36,7 +40,7 @@ def _secret(kind: str, v: Column) -> Column:
 
 
 def proposals(text: Column) -> Column:
-    """All candidates ``at, rank, kind, to, secret`` (a hash), by start and then kind."""
+    """All candidates ``at, rank, kind, to, secret`` (a hash) and ``named``, by start and then kind."""
     tries = {
         "assign": (ASSIGN, text.rlike(ASSIGN), lambda v: F.length(_secret("assign", v)) >= 6),
         "access": (ACCESS, F.contains(text, F.lit("AKIA")), lambda v: F.length(v) >= 20),
@@ -44,25 +48,29 @@ def proposals(text: Column) -> Column:
         "generic": (GENERIC, text.rlike(GENERIC), mixed_token),
     }
     one = lambda i, kind: lambda s: F.struct(
-        s["at"].alias("at"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"), s["to"].alias("to"), F.md5(_secret(kind, s["value"])).alias("secret"))
+        s["at"].alias("at"), F.lit(i).alias("rank"), F.lit(kind).alias("kind"), s["to"].alias("to"), F.md5(_secret(kind, s["value"])).alias("secret"),
+                                           _secret(kind, s["value"]).rlike(NAMED).alias("named"))
     return F.array_sort(F.concat(*[F.transform(found(text, *t), one(i, k)) for i, (k, t) in enumerate(tries.items())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", owners: int = OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", owners: int = OWNERS,
+                 repositories: int = REPOSITORIES, many: int = MANY) -> DataFrame:
     """``doc_id, version, found``: per row its candidates ``at, rank, kind, to, secret, repositories, owners, live``.
 
-    Base kinds keep every match; a generic token stays only when it looks live, that is when fewer
-    than ``owners`` owners hold it. ``version`` is a hash of the text. Null and empty texts have no
-    candidates; a null owner and a null id count as one owner and one repository of their own.
-    Repeated rows are one repository and get equal results, each row its own.
+    A value is an example when ``repositories`` distinct texts and ``owners`` owners hold it, or
+    ``many`` texts at all; a value that calls itself an example is one as soon as ``owners`` owners hold it. Base
+    kinds keep every match; a generic token stays unless it is an example. ``version`` is a hash of
+    the text. Null and empty texts have no candidates; a null owner counts as one owner. Equal texts
+    are one repository, under whatever ids, and get equal results, each row its own.
     """
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.xxhash64(text).alias("version"),
                               proposals(F.coalesce(F.col(text), F.lit(""))).alias("found")))
     each = rows.filter(F.size("found") > 0).select("doc_id", "version", "owner", F.explode("found").alias("c"))
-    held = each.select("c.secret", "owner", "doc_id").distinct()
-    by_owner = held.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("n"))
-    counts = by_owner.groupBy("secret").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    judged = each.select("doc_id", "version", "c.*").distinct().join(counts, "secret").withColumn("live", F.col("owners") < owners)
+    held = lambda by: each.select("c.secret", by).distinct().groupBy("secret")
+    counts = held("version").agg(F.count(F.lit(1)).alias("repositories")).join(held("owner").agg(F.count(F.lit(1)).alias("owners")), "secret")
+    copied = (F.col("owners") >= owners) & ((F.col("repositories") >= repositories) | F.col("named"))
+    judged = each.select("doc_id", "version", "c.*").distinct().join(counts, "secret").withColumn(
+        "live", ~(copied | (F.col("repositories") >= many)))
     kept = judged.filter((F.col("kind") != "generic") | F.col("live"))
     lists = kept.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct(
         "at", "rank", "kind", "to", "secret", "repositories", "owners", "live"))).alias("found")).alias("k")
