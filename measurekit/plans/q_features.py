@@ -218,8 +218,8 @@ def _(spark, d):
 @query("text_embedding", "G9")
 def _(spark, d):
     docs = wide_table(spark, d, "documents").select("doc_id", "text")
-    vectors = embed.train_embedding(docs, dim=16, window=5, epochs=1)
-    out = embed.embed(docs, "doc_id", "text", vectors, 16)
+    vectors = embed.train_embedding(docs)
+    out = embed.embed(docs, "doc_id", "text", vectors, embed.DIM)
     norm = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda a, v: a + v * v))
     return out.select("doc_id", F.size("emb").alias("dim"), rounded(norm, 3).alias("norm"))
 
