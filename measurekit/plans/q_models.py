@@ -230,21 +230,21 @@ def _tree_scores(spark, d, name, spec):
 
 @query("random_forest", "K7")
 def _(spark, d):
-    """Out-of-fold forest of every type, fewer trees than the preset."""
-    return _tree_scores(spark, d, "forest", {**trees.PRESETS["forest"], "numTrees": 40})
+    """Out-of-fold forest of every type."""
+    return _tree_scores(spark, d, "forest", trees.PRESETS["forest"])
 
 
 @query("boosted_trees", "K8")
 def _(spark, d):
-    """Out-of-fold boosting of every type, fewer rounds than the preset."""
-    return _tree_scores(spark, d, "gbm", {**trees.PRESETS["gbm"], "maxIter": 15, "stepSize": 0.3})
+    """Out-of-fold boosting of every type."""
+    return _tree_scores(spark, d, "gbm", trees.PRESETS["gbm"])
 
 
 @query("shared_model", "K9 B11 D11")
 def _(spark, d):
     """One boosted model for every type, scored per fold and averaged."""
     m = fold_columns(items(spark, d), 5, 1)
-    p = trees.shared_oof(m, ITEM_TYPES, ["x1", "x2", "x3"], {**trees.PRESETS["gbm"], "maxIter": 15, "stepSize": 0.3})
+    p = trees.shared_oof(m, ITEM_TYPES, ["x1", "x2", "x3"], trees.PRESETS["gbm"])
     per_fold = evaluate.r2_rmse(p, [TYPE, "fold_0"])
     return rounds(per_fold.groupBy(TYPE).agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse")), "r2", "rmse", digits=3)
 
