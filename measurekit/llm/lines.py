@@ -51,7 +51,7 @@ def _reassemble(least: int):
             lines = kept = (t or "").split("\n")
             if d:
                 bad = {a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for a, b in zip(d[::2], d[1::2], strict=True)}
-                kept = [x for x, low in zip(lines, t.encode().lower().split(b"\n"), strict=True) if line_key(low, least) not in bad]
+                kept = [x for x, low in zip(lines, (t or "").encode().lower().split(b"\n"), strict=True) if line_key(low, least) not in bad]
             out.append(t if len(kept) == len(lines) else "\n".join(kept))
             total.append(len(lines))
             gone.append(len(lines) - len(kept))

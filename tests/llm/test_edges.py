@@ -76,6 +76,14 @@ def test_lines(docs, empty):
     assert three[0] == 0
 
 
+def test_lines_of_an_id_with_a_null_text(spark):
+    rows = [(1, "a line that is shared"), (2, None), (2, "a line that is shared\nand one of its own"), (2, "")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), name="q")
+    got = sorted(((r["doc_id"], r["text"], r["q"]["text"], r["q"]["n_lines"], r["q"]["n_dropped"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, rows[0][1], rows[0][1], 1, 0), (2, None, None, 1, 0), (2, "", "", 1, 0),
+                          (2, rows[2][1], "and one of its own", 2, 1)], key=str)
+
+
 def test_near_duplicates(docs, empty):
     known = [(d, t) for d, t, *_ in ROWS if d is not None]
     got = ngram_join.clusters(docs)
