@@ -44,13 +44,13 @@ class Encoder:
         import tiktoken
         self._file = public.path(f"{name}.json")
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self._whole = None
 
     def __call__(self, text: str) -> bytes:
         if SPECIAL not in text:
-            return np.array(self._plain(text), "<u4").tobytes()
+            return np.array(self.plain(text), "<u4").tobytes()
         if self._whole is None:
             from tokenizers import Tokenizer
             self._whole = Tokenizer.from_file(self._file)

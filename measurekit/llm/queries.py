@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, mixing, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
+from . import alignment, fingerprints, fp_search, language, lines, mixing, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
 from .common import documents
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,23 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "q.n_lines", "q.n_dropped", F.sha2(F.col("q.text"), 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return fp_search.ranked(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(documents(spark, d))
+
+
+def op13_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.language(documents(spark, d))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_jaccard_join, op3_personal_data, op4_best_fit_packing, op5_token_counts, op6_secret_scans,
-    op7_quality_rules, op8_order_minhash, op9_source_mixing, op10_line_dedup)}
+    op7_quality_rules, op8_order_minhash, op9_source_mixing, op10_line_dedup, op11_ranked_search,
+    op12_tokenizer_alignment, op13_language_id)}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": f"""
@@ -80,4 +94,17 @@ o as (select k, min(doc_id) as owner from k where length(k) >= 10 group by k hav
 m as (select doc_id, line, pos, owner is not null and owner <> doc_id as gone from k left join o using (k))
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from m group by 1""",
+    "op11_ranked_search": f"""
+with b as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as t from benchmark),
+q as (select item_id, t, count(*) as k from b group by all),
+d as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) as t from documents),
+f as (select doc_id, t, count(*) as tf from d group by all),
+n as (select doc_id, count(*) as n from d group by 1),
+s as (select count(*) as docs, sum(n)::bigint as terms from n),
+v as (select t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from (select t, count(*) as df from f group by 1), s),
+m as (select doc_id, 100 - 25 + (25 * n * docs) // terms as m from n, s),
+r as (select item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from q join v using (t) join f using (t) join m using (doc_id) group by all)
+select item_id, rank, doc_id, score from
+  (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from r where score > 0) where rank <= 20""",
 }
