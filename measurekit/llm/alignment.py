@@ -33,6 +33,7 @@ FAN = 16                 # fragments joined at a time across tasks
 PART_PAIRS = 2_000_000   # pairs of ids sent to a task at a time
 FLUSH_PAIRS = 1_000_000
 B_BITS = 20
+ROWS = 1_000             # texts of a batch that are held as Python objects at a time
 
 
 class Tokenizers:
@@ -50,12 +51,15 @@ class Tokenizers:
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """``(a ids, a ends, b ids, b ends)`` of a space and ``text``; None where a vocabulary's bytes are others."""
-        a = np.array(self.a.plain(f" {text}"), np.int64)   # special strings are plain text
-        b = np.array(self.b.encode(text, num_threads=1), np.int64)
+        b = self.b.encode(text, num_threads=1)
         whole = f" {text}".encode()
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+        if b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        return a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])
+        a = self.a.plain(f" {text}")   # special strings are plain text
+        a, b = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
+        a_end = np.cumsum(self.a_len[a])
+        # byte-level tokens are the text's bytes in order, so their number decides
+        return (a, a_end, b, np.cumsum(self.b_len[b])) if a_end[-1] == len(whole) else None
 
 
 @dataclass
@@ -75,7 +79,7 @@ NONE = tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
 def _joined(x: tuple, y: tuple) -> tuple:
-    return tuple(np.concatenate(z) for z in zip(x, y, strict=True)) if len(x[0]) + len(x[2]) else y
+    return tuple(np.concatenate(z) for z in zip(x, y, strict=True))
 
 
 def closed(t: tuple, common: np.ndarray) -> tuple[int, str, np.ndarray]:
@@ -84,15 +88,20 @@ def closed(t: tuple, common: np.ndarray) -> tuple[int, str, np.ndarray]:
     Between two neighbouring ends of any tokens there is one pair that overlaps, and each pair overlaps once.
     """
     a, a_end, b, b_end = t
+    if not len(common):
+        return 0, "", NONE[0]
     ends = np.union1d(a_end, b_end)
     pairs = a[np.searchsorted(a_end, ends)] << B_BITS | b[np.searchsorted(b_end, ends)]
     sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    i = j = 0
-    out = []
-    for x, y in zip((np.searchsorted(a_end, common) + 1).tolist(), (np.searchsorted(b_end, common) + 1).tolist(), strict=True):
-        out.append(f"{sa[i] if x == i + 1 else ','.join(sa[i:x])}|{sb[j] if y == j + 1 else ','.join(sb[j:y])}")
-        i, j = x, y
-    return len(out), ";".join(out), pairs
+    x, y = np.searchsorted(a_end, common) + 1, np.searchsorted(b_end, common) + 1
+    i, j = np.r_[0, x[:-1]], np.r_[0, y[:-1]]
+    # most groups have one token of each
+    left, right = list(map(sa.__getitem__, i.tolist())), list(map(sb.__getitem__, j.tolist()))
+    for k in np.flatnonzero(x - i > 1).tolist():
+        left[k] = ",".join(sa[i[k]:x[k]])
+    for k in np.flatnonzero(y - j > 1).tolist():
+        right[k] = ",".join(sb[j[k]:y[k]])
+    return len(x), ";".join(map("|".join, zip(left, right))), pairs
 
 
 def fragment(t: tuple, first: bool) -> Fragment:
@@ -109,17 +118,14 @@ def fragment(t: tuple, first: bool) -> Fragment:
 
 
 def compose(l: Fragment, r: Fragment) -> Fragment:
-    """The fragment of two neighbouring ranges; associative."""
-    n_a, n_b = l.n_a + r.n_a, l.n_b + r.n_b
-    if not r.cut:
-        pre, suf = (l.pre, _joined(l.suf, r.pre)) if l.cut else (_joined(l.pre, r.pre), NONE)
-        return Fragment(pre, suf, l.cut, n_a, n_b, l.n_groups, l.groups, l.pairs)
-    if not l.cut:
-        return Fragment(_joined(l.pre, r.pre), r.suf, True, n_a, n_b, r.n_groups, r.groups, r.pairs)
-    middle = _joined(l.suf, r.pre)
-    n, text, pairs = closed(middle, middle[1][-1:]) if len(middle[0]) else (0, "", NONE[0])
-    return Fragment(l.pre, r.suf, True, n_a, n_b, l.n_groups + n + r.n_groups, ";".join(x for x in (l.groups, text, r.groups) if x),
-                    np.concatenate([l.pairs, pairs, r.pairs]))
+    """The fragment of two neighbouring ranges; associative.
+
+    What is open between them is a fragment itself: a token from each side may end at one byte, so it can hold cuts that neither side sees.
+    """
+    middle = fragment(_joined(l.suf if l.cut else l.pre, r.pre), l.cut)
+    closed_ = [x for x, use in ((l, l.cut), (middle, True), (r, r.cut)) if use and x.n_groups]
+    return Fragment(l.pre if l.cut else middle.pre, r.suf if r.cut else middle.suf, middle.cut, l.n_a + r.n_a, l.n_b + r.n_b,
+                    sum(x.n_groups for x in closed_), ";".join(x.groups for x in closed_), np.concatenate([NONE[0], *[x.pairs for x in closed_]]))
 
 
 def of_segment(t: tuple, start: int, width: int = RANGE) -> Fragment:
@@ -177,12 +183,13 @@ def _columns(rows: list[tuple], names: list[str], ids: pa.Array) -> pa.RecordBat
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens = Tokenizers()
     names = [f.split()[0] for f in _ROW.split(", ")]
-    for b in batches:
-        rows = []
-        for text in b.column(1).to_pylist():
-            t = tokens(text) if text else None
-            rows.append(_done(None if t is None else of_segment(t, 0)))
-        yield _columns(rows, names, b.column(0))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            b, rows = batch.slice(lo, ROWS), []
+            for text in b.column(1).to_pylist():
+                t = tokens(text) if text else None
+                rows.append(_done(None if t is None else of_segment(t, 0)))
+            yield _columns(rows, names, b.column(0))
 
 
 def _cut_up(size: int):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dist import join_small
 from .common import stored
 
 NONE = "und"
@@ -89,7 +90,7 @@ def sample(docs: DataFrame, s: Settings) -> DataFrame:
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     share = counts.select("lang", (F.lit(s.max_rows / max(1, counts.count())) / F.col("_n")).alias("_share"))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53))
-    return known.withColumn("h", h).join(share, "lang").filter(F.col("h") < F.col("_share") * float(1 << 53)).select("text", "lang", "h")
+    return join_small(known.withColumn("h", h), share, "lang").filter(F.col("h") < F.col("_share") * float(1 << 53)).select("text", "lang", "h")
 
 
 def _moments(model: Model, s: Settings):

@@ -1,5 +1,6 @@
 """Plain single-process versions of the corpus operators' contracts, from their definitions."""
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -127,3 +128,64 @@ def targets(sizes, weights=(1, 2, 3), epochs=3):
         if not over:
             return fixed | {s: rest * weight[s] / share for s in free}
         fixed |= {s: float(epochs * sizes[s]) for s in over}
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, top=20):
+    """[(item, rank, doc, score)] for ``docs`` (id, text) and ``items`` (id, text), every row for itself; null ids last among ties."""
+    split = lambda t: TERM.findall((t or "").translate(LOWER))
+    held = [(d, Counter(split(t))) for d, t in docs]
+    held = [(d, c) for d, c in held if c]
+    n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(w for _, c in held for w in c)
+    out = []
+    for item, text in items:
+        want, found = Counter(split(text)), []
+        for d, c in held:
+            m = 100 - 25 + (25 * sum(c.values()) * n_docs) // n_terms
+            s = sum(k * int(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1)) // 1) * (1000000000 * c[w] // (1000 * c[w] + 12 * m))
+                    for w, k in want.items() if w in c)
+            if s > 0:
+                found.append((-s, d is None, d or 0))
+        out += [(item, r, None if z else d, -s) for r, (s, z, d) in enumerate(sorted(found)[:top], 1)]
+    return out
+
+
+def aligned(docs, a, b):
+    """Rows of the alignment contract for ``docs`` (id, text); ``a``, ``b``: text to [(id, bytes)]."""
+    held, counts = [], Counter()
+    for d, t in docs:
+        whole = f" {t}".encode()
+        x, y = (a(t), b(t)) if t else ([], [])
+        if b"".join(v for _, v in x) != whole or b"".join(v for _, v in y) != whole:
+            held.append((d, None, [], 0, 0))
+            continue
+        spans = []
+        for ids in (x, y):
+            at, own = 0, []
+            for i, v in ids:
+                own.append((i, at, at + len(v)))
+                at += len(v)
+            spans.append(own)
+        cuts = sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]})
+        groups, lo = [], 0
+        for hi in cuts:
+            groups.append("|".join(",".join(str(i) for i, s, e in own if lo <= s and e <= hi) for own in spans))
+            lo = hi
+        links, j = [], 0
+        for i, s, e in spans[0]:
+            while spans[1][j][2] <= s:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][1] < e:
+                links.append((i, spans[1][k][0]))
+                k += 1
+        counts.update(links)
+        held.append((d, groups, links, len(x), len(y)))
+    top = {}
+    for (_, i), n in counts.items():
+        top[i] = max(top.get(i, 0), n)
+    return [(d, n, m, len(g or []), len(ls), sum(counts[p] == top[p[1]] for p in ls), sum(counts[p] for p in ls), sha(";".join(g)) if g is not None else "")
+            for d, g, ls, n, m in held]
