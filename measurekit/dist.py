@@ -45,12 +45,16 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
 def hot_keys(df: DataFrame, on, rows: int = ROWS_PER_TASK) -> DataFrame | None:
     """Keys with more rows than a task should hold, and ``_salts``, the tasks they need; None when there are none.
 
-    There are at most (rows of ``df`` / ``rows``) of them.
+    There are at most (rows of ``df`` / ``rows``) of them. Every count is combined in the tasks first.
     """
     on = as_list(on)
     known = df.select(*on).dropna()
-    if known.limit(rows + 1).count() <= rows:
+    if known.count() <= rows:
         return None
+    return _hot(known, on, rows)
+
+
+def _hot(known: DataFrame, on: list[str], rows: int) -> DataFrame | None:
     counted = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
     hot = settled(counted.select(*on, F.ceil(F.col("_n") / rows).alias("_salts")))
     return None if hot.isEmpty() else hot
@@ -67,12 +71,11 @@ def join_salted(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
     keyless = F.lit(False)
     for c in on:
         keyless = keyless | F.col(c).isNull()
-    hot = hot_keys(left, on, rows)
-    nulls = 0 if how not in ("left", "left_anti") else left.filter(keyless).limit(rows + 1).count()
+    known, nulls = left.select(*on).agg(F.count_if(~keyless), F.count_if(keyless)).first()
+    nulls = nulls if how in ("left", "left_anti") else 0
+    hot = _hot(left.select(*on).dropna(), on, rows) if known > rows else None
     if hot is None and nulls <= rows:
         return left.join(right, on, how)
-    if nulls > rows:
-        nulls = left.filter(keyless).count()
     hot = left.select(*on, F.lit(1).cast("long").alias("_salts")).limit(0) if hot is None else hot
     plain = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() != "map"]
     salts = F.when(keyless, F.lit(max(1, -(-nulls // rows)))).otherwise(F.coalesce("_salts", F.lit(1)))

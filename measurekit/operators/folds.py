@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, KEY, REPEAT, ROW, TYPE
 from ..dist import join_salted, join_small, row_number_by_cell, tile
 from ..functions.hashing import hash_cell, hash_fold, hash_order
+from ..session import cut
 
 SEED = 42
 
@@ -31,7 +34,7 @@ def _fold(seed: int, key: str, k: int) -> Column:
 
 
 def balanced_key_folds(df: DataFrame, k: int = 5, seed: int = SEED, key: str = KEY) -> DataFrame:
-    keys = df.select(TYPE, key).dropna().distinct().withColumn("_h", hash_order(seed, F.col(key)))
+    keys = cut(df.select(TYPE, key).dropna().distinct()).withColumn("_h", hash_order(seed, F.col(key)))
     ranked = row_number_by_cell(keys, TYPE, hash_cell(F.col("_h"), keys.count()), [F.col("_h"), F.col(key)], "_rn", "_tot")
     return ranked.select(TYPE, key, tile(F.col("_rn"), F.col("_tot"), k).alias(FOLD))
 
@@ -44,7 +47,12 @@ def row_kfold(df: DataFrame, k: int = 5, seed: int = SEED, name: str = FOLD) ->
 def fold_columns(df: DataFrame, k: int = 5, repeats: int = 3, seed: int = SEED,
                  key: str = KEY) -> DataFrame:
     """Wide form: ``fold_0 .. fold_{repeats-1}``, one seed each, without multiplying rows; null without a key."""
-    return df.withColumns({f"fold_{r}": _fold(seed + r, key, k) for r in range(repeats)})
+    return seeded_folds(df, k, range(seed, seed + repeats), key)
+
+
+def seeded_folds(df: DataFrame, k: int, seeds: Sequence[int], key: str = KEY) -> DataFrame:
+    """The same for given seeds."""
+    return df.withColumns({f"fold_{i}": _fold(s, key, k) for i, s in enumerate(seeds)})
 
 
 def fold_names(repeats: int) -> list[str]:

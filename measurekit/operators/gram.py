@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,13 +58,12 @@ def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str],
     ``like`` reuses another Gram's layout, so that the two can be added.
     """
     by, features = as_list(by), list(features)
-    on_a_side = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in folds], finite(F.col(target)).isNotNull())
-    df = df.filter(on_a_side).select(
-        *by, *folds, F.col(target).cast("double").alias(target),
-        *[finite(F.col(c)).alias(c) for c in features if c != target],
-        *([F.col(weight).cast("double").alias(weight)] if weight else []))
+    # rows without a fold or a finite target are left out inside the tasks: a filter would be pushed below what computes
+    # both, often a hash, and compute it again
+    df = df.select(*by, *folds, finite(F.col(target)).alias(target), *[finite(F.col(c)).alias(c) for c in features if c != target],
+                   *([F.col(weight).cast("double").alias(weight)] if weight else []))
     if like is None:
-        means, gaps = column_means(df, [target, *features])
+        means, gaps = column_means(df.drop(*folds).filter(F.col(target).isNotNull()), [target, *features])
         missing = [c for c in features if c in gaps]
     else:
         means, missing = like.shift, like.missing
@@ -85,6 +83,9 @@ def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str],
                     "m": [flat[s:s + CHUNK] for s in range(0, flat.size, CHUNK)]})
 
         for pdf in batches:
+            pdf = pdf[pdf[target].notna() & pdf[list(folds)].notna().all(axis=1)].reset_index(drop=True)
+            if pdf.empty:
+                continue
             x = pdf[features].to_numpy(dtype=float) - shift[1:]
             gap = np.isnan(x)
             z = np.column_stack([np.ones(len(pdf)), pdf[target].to_numpy(dtype=float) - shift[0],
@@ -125,7 +126,7 @@ def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, targe
         return {}
     by, side = gram.by, [*gram.by, REPEAT, FOLD, "j"]
     cols = {j: finite(F.col(c)) for j, c in enumerate(gram.missing)}
-    rows = df.filter(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in folds], finite(F.col(target)).isNotNull())).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
+    rows = df.filter(F.col(folds[0]).isNotNull() & finite(F.col(target)).isNotNull()).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
     for half in (0.02, 0.15, None):
         if half is None:
             held = rows.withColumns({f"_b{j}": F.array(F.lit(float("-inf")), F.lit(float("inf"))) for j in cols})

@@ -14,7 +14,7 @@ from ..columns import FOLD, MODEL, PRED, REPEAT, ROW, TYPE, Y
 from ..dist import join_small
 from .evaluate import gate_paired, gate_unpaired, nested_score, summarize_scores
 from ..session import cut
-from .folds import fold_columns, fold_names
+from .folds import fold_columns, fold_names, seeded_folds
 from .gram import CHUNK, Gram, fold_gram, train_medians
 from .linear import fit_linear, gram_scores, predict_oof, settled_models, solve
 
@@ -124,11 +124,9 @@ def seed_bag(df: DataFrame, features: Sequence[str], specs: Mapping[str, Mapping
              k: int = 5) -> DataFrame:
     """Out-of-fold predictions averaged over fold seeds, as ``pred_<model>`` next to ``first_<model>``.
 
-    Each seed is one more fold column, so all seeds share a single Gram pass.
+    Each seed is one more fold column, so all seeds share a single Gram pass. Rows without a key have no fold and no prediction.
     """
-    from ..functions.hashing import hash_fold
-    from ..columns import KEY
-    df = df.withColumns({f"fold_{i}": hash_fold(s, F.col(KEY), k) for i, s in enumerate(seeds)})
+    df = seeded_folds(df, k, seeds)
     models = fit_linear(df, features, specs, repeats=len(seeds), k=k)
     out = predict_oof(df, features, models, list(specs), len(seeds), per_repeat=True)
     return out.withColumns({f"first_{n}": F.col(f"pred_{n}_0") for n in specs}).drop(

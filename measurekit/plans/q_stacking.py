@@ -128,10 +128,8 @@ def _(spark, d):
 def _(spark, d):
     """Final forests of every type on all its training rows, averaged over seed offsets."""
     tr, sc = scoring_side(items(spark, d))
-    spec = trees.PRESETS["forest"]
-    parts = [trees.tree_fit_predict(tr.filter(F.col(TYPE) == t), [sc.filter(F.col(TYPE) == t)], ["x1", "x2", "x3"], spec, "forest",
-                                    seeds=(42, 43, 44))[0] for t in ITEM_TYPES]
-    return rounds(evaluate.nested_score(reduce(DataFrame.unionByName, parts), "pred_forest"), "r2", "rmse", digits=3)
+    [out] = trees.tree_fit_predict(tr, [sc], ["x1", "x2", "x3"], trees.PRESETS["forest"], "forest", seeds=(42, 43, 44), by=TYPE)
+    return rounds(evaluate.nested_score(out, "pred_forest"), "r2", "rmse", digits=3)
 
 
 @query("gated_stack_column", "L19", cte("m_items", *MATRIX, "mm as (select * exclude (repeat, fold) from m)", sql_long("g", "mm", 3),
