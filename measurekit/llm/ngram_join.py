@@ -11,10 +11,10 @@ into ``m`` segments, ``m`` set by the band of sizes; a set's part in one segment
   (frequency, hash): the costliest tokens, such as common passages and empty parts, go unused
   wherever a set can afford it, and two linked sets still share one of the rest.
 
-Both spend the same allowance; which costs less rows per set decides the band's form. Shared
+Both spend the same allowance; neighbours cost a row for each element, which pays for small sets only. Shared
 tokens bring candidates; a bound from parity sketches (the sketches of two sets differ in no more
-bits than the sets in elements) drops most, first with 256 bits in the join, then with two bits an
-element, and whole texts decide the rest exactly.
+bits than the sets in elements) drops most, in the join with 256 bits and then with a bit or more for each
+element of the band, and again with two bits an element; whole texts decide the rest exactly.
 
 Equal sets are one node. Near copies meet the least node of their token first, so a group of
 copies costs as many pairs as it has nodes; only nodes then still in different components are
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dist import join_measured, join_small, settled
 from ..operators.graph import components
 from .common import discard, fresh, stored, stored_at
 
@@ -38,7 +39,10 @@ SKETCH_BITS = 256
 SMALL = 40            # sizes up to here take one-deletion neighbours
 GROWTH = 1.5          # upper bound of a band by its lower one
 SPARE = .1            # share of a band's needed tokens added as spare ones
+WIDE_BITS = 1024      # most bits of a sketch that is compared inside a join
 BROADCAST_IDS = 1_000_000
+SAMPLE = 64           # one in so many nodes tells which tokens are frequent
+FREQUENT = 8          # times in the sample; others are counted where they meet, about ``SAMPLE * FREQUENT`` rows at most
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 T_SCHEMA = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, sketch binary, bands array<int>, tokens array<array<long>>"
 
@@ -62,6 +66,10 @@ class Bands:
         last = bisect_right(self.starts, n * 100 // self.percent) - 1
         return range(bisect_right(self.starts, n) - 1, last + 1)
 
+    def width(self, band: int) -> int:
+        """Bits of the sketches that two sets of a band are compared by."""
+        return min(WIDE_BITS, max(SKETCH_BITS, 1 << (self.starts[band + 1] - 2).bit_length()))
+
     def form(self, band: int) -> tuple[int, int, bool]:
         """Segments, spare tokens, and whether parts get one-deletion neighbours."""
         u = self.starts[band + 1] - 1
@@ -166,11 +174,28 @@ BITS = ["b0", "b1", "b2", "b3"]
 
 def small(ids: DataFrame) -> DataFrame:
     """``ids`` marked for broadcast when they are counted to be few, else as they are."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def with_frequency(flat: DataFrame) -> DataFrame:
+    """``node, band, sig`` with ``f``, the rows of the token, where two or more.
+
+    Rows meet once, at their token. Tokens that a sample of the nodes shows to be frequent would make large groups: these are
+    counted by sums that tasks combine, and get their count by a measured join.
+    """
+    seen = flat.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
+    often = settled(seen.filter(F.col("f") >= FREQUENT).select("sig", F.lit(True).alias("often")))
+    there = Window.partitionBy("sig")
+    if often.isEmpty():
+        return flat.withColumn("f", F.count(F.lit(1)).over(there)).filter("f > 1")
+    marked = join_measured(flat, often, ["sig"])
+    rest = marked.filter("often is null").drop("often").withColumn("f", F.count(F.lit(1)).over(there)).filter("f > 1")
+    hot = marked.filter("often").drop("often")
+    return rest.unionByName(join_small(hot, hot.groupBy("sig").agg(F.count(F.lit(1)).alias("f")), "sig").filter("f > 1"))
 
 
-def index(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``sig, node, n, b0..b3``: the tokens by which candidates are found.
+def index(wide: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``sig, node, band, n, b0..b3``: the tokens by which candidates are found.
 
     Only tokens of at least two nodes are kept; each node leaves out its band's spare number of
     them, the most frequent first.
@@ -179,24 +204,42 @@ def index(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     spare = F.array(*[F.lit(bands.form(i)[1]) for i in range(len(bands.starts) - 1)])
     key = ["doc_id", "d1", "d2"]
     copies = stored(sets.select(*key).join(nodes, ["d1", "d2"]).filter("doc_id <> node").select(*key).distinct())
-    own = sets.join(small(copies), key, "left_anti")
+    own = wide.select(*key, "bands", "tokens").join(small(copies), key, "left_anti")
     flat = own.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("bands", "tokens")).alias("z")).select(
         "node", F.col("z.bands").alias("band"), F.explode("z.tokens").alias("sig"))
-    often = flat.groupBy("sig").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    common = flat.join(often, "sig")
+    common = with_frequency(flat).repartition("node")   # for the ranks and the join
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("f"), F.desc("sig")))
-    used = common.withColumn("skip", F.element_at(spare, F.col("band") + 1)).withColumn("at", place).filter("at > skip").select("sig", "node")
+    used = common.withColumn("skip", F.element_at(spare, F.col("band") + 1)).withColumn("at", place).filter("at > skip").select("sig", "node", "band")
     return used.join(sets.select(F.col("doc_id").alias("node"), "n", *BITS).distinct(), "node")
 
 
-def _close(l: str, r: str, percent: int) -> Column:
-    """A necessary condition for a link, from sizes and sketches."""
+def _close(l: str, r: str, percent: int, wide: bool = False) -> Column:
+    """A necessary condition for a link, from sizes and sketches; ``wide``: from ``fine`` too, where there is one."""
     a, b = F.col(f"{l}.n"), F.col(f"{r}.n")
     total = a + b
     most = total - 2 * F.ceil(percent * total / (100 + percent))
     differ = sum((F.bit_count(F.col(f"{l}.{x}").bitwiseXOR(F.col(f"{r}.{x}"))) for x in BITS[1:]),
                  F.bit_count(F.col(f"{l}.b0").bitwiseXOR(F.col(f"{r}.b0"))))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= most)
+    near = (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= most)
+    if not wide:
+        return near
+    each = F.zip_with(F.col(f"{l}.fine"), F.col(f"{r}.fine"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return near & F.coalesce(F.aggregate(each, F.lit(0), lambda u, v: u + v) <= most, F.lit(True))
+
+
+def _folded(percent: int):
+    """Adds ``fine``, the sketch as wide as the band compares it; null where the 256 bits are that."""
+    def rows(batches):
+        bands = Bands(percent)
+        for b in batches:
+            out = []
+            for band, raw in zip(b.column("band").to_pylist(), b.column("sketch"), strict=True):
+                width = bands.width(band) // 64
+                out.append(np.bitwise_xor.reduce(np.frombuffer(raw.as_buffer(), np.uint64).reshape(-1, width), axis=0).view(np.int64)
+                           if width > SKETCH_BITS // 64 else None)
+            cols = {c: b.column(c) for c in b.schema.names if c != "sketch"}
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(out, pa.list_(pa.int64()))], [*cols, "fine"])
+    return rows
 
 
 def _verified(size: int, percent: int):
@@ -237,29 +280,30 @@ def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percen
     sides = pairs.join(fine.select(F.col("doc_id").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("y")), "dst").join(
         fine.select(F.col("doc_id").alias("src"), "n", F.col("sketch").alias("x")), "src")
     pairs = stored(sides.select("src", "dst", "n", "m", "x", "y").mapInArrow(_plausible(percent), "src long, dst long").distinct())
-    texts = stored(docs.join(small(_ends(pairs)), "doc_id", "left_semi"))
+    texts = docs.join(small(stored(_ends(pairs))), "doc_id", "left_semi")
     right = pairs.join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("q")), "dst")
     both = right.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("p")), "src")
     return both.select("src", "dst", "p", "q").mapInArrow(_verified(size, percent), "src long, dst long")
 
 
 def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, links_seen``.
 
     ``n_shingles`` is the number of distinct n-grams of ``size`` words (A-Z lower-cased). Documents
     link when ``100 * |A & B| >= percent * |A | B|``; ``component_id`` is the least id reachable by
-    links, its own at least; ``n_links`` counts the verified links the search needed at its set.
+    links, its own at least; ``links_seen`` counts the verified links that the search came upon at its set, not all it has.
     A null or empty text has no n-grams and links with nothing. Rows that share an id and a text
     are one document; rows that share an id only are linked as their texts are. Rows without an
     id get a null component and link nothing. Sets are told apart by 128-bit digests.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark, usable = docs.sparkSession, "n > 0 and doc_id is not null"
     wide, folder = stored_at(plain.mapInArrow(_set_rows(size, percent), T_SCHEMA))
-    sets, usable = stored(wide.drop("bands", "tokens")), "n > 0 and doc_id is not null"
+    sets = stored(wide.drop("bands", "tokens"))
     real = sets.filter(usable)
     nodes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    idx = stored(index(wide.filter(usable), nodes, percent))
-    discard(docs.sparkSession, folder)   # the tokens, by far the largest table, live on in the index
+    idx = stored(index(wide.filter(usable), real, nodes, percent))
+    discard(spark, folder)   # the tokens, by far the largest table, live on in the index
     pivot = idx.groupBy("sig").agg(F.min(F.struct("node", "n", *BITS)).alias("m")).select("sig", "m.*")
     star = idx.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.node") != F.col("p.node")).filter(_close("x", "p", percent))
     links = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
@@ -267,39 +311,40 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     label = stored(_labels(links))
     while True:
         marked = idx.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed = marked.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig")
-        open_ = stored(marked.join(mixed, "sig"))
-        cross = (open_.alias("x").join(open_.alias("y"), "sig").filter(
-            (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).filter(_close("x", "y", percent)))
-        seen = open_.count()
-        wide = cross.count() > 4 * seen if seen else False
-        if not wide:
-            pairs = cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-            rounds.append(stored(verify(pairs, real, plain, size, percent)))
-            break
-        # many candidates between few groups: join them to one more pivot each before comparing all
-        head = open_.groupBy("sig").agg(F.min("c").alias("lo"))
-        rest = open_.join(head, "sig").filter("c > lo").drop("lo")
-        pivot = rest.groupBy("sig").agg(F.min(F.struct("c", "node", "n", *BITS)).alias("m")).select("sig", "m.*")
-        star = open_.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.c") != F.col("p.c")).filter(_close("x", "p", percent))
-        more = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
-        if more.isEmpty():
-            pairs = cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-            rounds.append(stored(verify(pairs, real, plain, size, percent)))
+        mixed = marked.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("sig", "lo")
+        open_, was = stored_at(marked.join(mixed, "sig"))
+        # comparing all would cost the square of a token's nodes, less those of one component: first join each to one more pivot
+        parts = open_.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
+        pairs, seen = parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)) / 2, F.coalesce(F.sum("n"), F.lit(0))).first()
+        more = None
+        if pairs > 4 * seen:
+            pivot = open_.filter("c > lo").groupBy("sig").agg(F.min(F.struct("c", "node", "n", *BITS)).alias("m")).select("sig", "m.*")
+            star = open_.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.c") != F.col("p.c")).filter(_close("x", "p", percent))
+            more = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
+        if more is None or more.isEmpty():
+            key = [F.col("doc_id").alias("node"), "n", *BITS]
+            fine = open_.drop("lo").join(real.select(*key, "sketch").dropDuplicates(["node", "n", *BITS]), ["node", "n", *BITS])
+            names = ["node", "n", *BITS, "sig", "band", "c", "sketch"]
+            fine, folder = stored_at(fine.select(*names).mapInArrow(_folded(percent), f"{', '.join(f'{x} long' for x in names[:7])}, band int, c long, fine array<long>"))
+            cross = fine.alias("x").join(fine.alias("y"), "sig").filter(
+                (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).filter(_close("x", "y", percent, wide=True))
+            rounds.append(stored(verify(cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct(), real, plain, size, percent)))
+            discard(spark, folder)
             break
         rounds.append(more)
         label = stored(_labels(_all(rounds)))
+        discard(spark, was)
     found = _all(rounds)
     found = stored(found.distinct())
     ends = found.select(F.col("src").alias("node")).unionAll(found.select(F.col("dst").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links_seen"))
     label = stored(_labels(found))
     by_node = stored(nodes.join(label, "node", "left").join(degree, "node", "left").select(
-        "d1", "d2", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        "d1", "d2", F.coalesce("component", "node").alias("c"), F.coalesce("links_seen", F.lit(0)).alias("links_seen")))
     out = sets.join(by_node, ["d1", "d2"], "left")
     named = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("c", "doc_id")).alias("component_id"),
-                      F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+                      F.when(named, F.coalesce("links_seen", F.lit(0))).otherwise(0).alias("links_seen"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

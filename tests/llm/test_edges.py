@@ -88,7 +88,7 @@ def test_near_duplicates(docs, empty):
     known = [(d, t) for d, t, *_ in ROWS if d is not None]
     got = ngram_join.clusters(docs)
     assert pairs(got.filter("doc_id is not null"), "doc_id", "n_shingles", "component_id") == sorted(brute.near(known, 4, 85), key=str)
-    assert pairs(got.filter("doc_id is null"), "component_id", "n_links")[0][0] is None
+    assert pairs(got.filter("doc_id is null"), "component_id", "links_seen")[0][0] is None
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r[0] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == [1, 1, 3, 4, 5, 6, 7, 8, 9]
