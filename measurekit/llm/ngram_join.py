@@ -41,6 +41,8 @@ GROWTH = 1.5          # upper bound of a band by its lower one
 SPARE = .1            # share of a band's needed tokens added as spare ones
 WIDE_BITS = 1024      # most bits of a sketch that is compared inside a join
 BROADCAST_IDS = 1_000_000
+ROWS = 500              # texts that a task holds as sets at a time
+KNOWN_WORDS = 150_000   # words whose hashes a task remembers
 SAMPLE = 64           # one in so many nodes tells which tokens are frequent
 FREQUENT = 8          # times in the sample; others are counted where they meet, about ``SAMPLE * FREQUENT`` rows at most
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -147,10 +149,10 @@ def differing(a: np.ndarray, b: np.ndarray) -> int:
 def _set_rows(size: int, percent: int):
     def rows(batches):
         bands, known = Bands(percent), {}
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 g = hashed_grams(words_of(text), size, known)
                 if not len(g):
