@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import FOLD, REPEAT, Y
-from ..dist import as_list, join_small, order_statistics
+from ..dist import as_list, join_small, order_statistics, settled
 from ..functions.scalars import finite
+from ..session import cut
 
 CHUNK = 4096
 FLUSH_BYTES = 256 << 20
-MAX_MEDIANS = 2_000_000
 
 
 @dataclass
@@ -114,16 +114,17 @@ def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str],
     return Gram(table, by, features, missing, [float(v) for v in shift])
 
 
-def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, target: str = Y) -> dict:
-    """Exact training-side medians ``{(by.., repeat, fold): [per missing feature]}``.
+def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, target: str = Y) -> DataFrame | None:
+    """Exact training-side medians: ``by.., repeat, fold, fill``, one list a side over the features with gaps; None without such.
 
     Fold -1 of repeat 0 is the median over all rows. Only features with nulls are read.
     All sides of a type have their medians close together, so only rows in a narrow
     bracket around the type's median are copied to the sides; exact counts below the
-    bracket give the rank wanted inside it. If a rank falls outside, the bracket widens.
+    bracket give the rank wanted inside it. If a rank falls outside, the bracket widens. Ranks and
+    medians stay tables, however many there are.
     """
     if not gram.missing:
-        return {}
+        return None
     by, side = gram.by, [*gram.by, REPEAT, FOLD, "j"]
     cols = {j: finite(F.col(c)) for j, c in enumerate(gram.missing)}
     rows = df.filter(F.col(folds[0]).isNotNull() & finite(F.col(target)).isNotNull()).select(*by, *folds, *[c.alias(f"_x{j}") for j, c in cols.items()])
@@ -134,16 +135,9 @@ def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, targe
             probs = F.array(F.lit(0.5 - half), F.lit(0.5 + half))
             held = join_small(rows, rows.groupBy(*by).agg(
                 *[F.percentile_approx(f"_x{j}", probs, 10_000).alias(f"_b{j}") for j in cols]), by)
-        ranks = _side_ranks(held, by, folds, list(cols), k)
-        if ranks["ok"].all():
+        ranks = settled(_side_ranks(held, by, folds, list(cols), k))
+        if half is None or ranks.filter("not ok").isEmpty():
             break
-    ranks = ranks[ranks["n"] > 0]
-    if ranks.empty:
-        return {}
-    wanted = df.sparkSession.createDataFrame(
-        [tuple(v) for v in ranks[[*side, "rank"]].itertuples(index=False)],
-        T.StructType([*[df.schema[b] for b in by], *[T.StructField(c, T.IntegerType()) for c in side[len(by):]],
-                      T.StructField("_rank", T.DoubleType())]))
     sides = F.array(*[F.struct(F.lit(r).alias(REPEAT), F.lit(f).alias(FOLD))
                       for r in range(len(folds)) for f in [-1, *range(k)] if f >= 0 or r == 0])
     own = F.coalesce(*[F.when(F.col("s")[REPEAT] == r, F.col(c)) for r, c in enumerate(folds)])
@@ -153,36 +147,33 @@ def train_medians(df: DataFrame, gram: Gram, folds: Sequence[str], k: int, targe
     long = (held.select(*by, *folds, F.explode(near).alias("v")).withColumn("s", F.explode(sides))
             .filter(own != F.col("s")[FOLD])
             .select(*by, F.col("s")[REPEAT].alias(REPEAT), F.col("s")[FOLD].alias(FOLD), "v.*"))
-    out: dict = {}
-    for row in order_statistics(long, side, "x", wanted).collect():
-        key = (*[row[b] for b in by], row[REPEAT], row[FOLD])
-        out.setdefault(key, [0.0] * len(gram.missing))[row["j"]] = row["_q"]
-    return out
+    found = order_statistics(long, side, "x", ranks.filter("n > 0").select(*side, F.col("rank").alias("_rank")))
+    each = F.map_from_entries(F.collect_list(F.struct("j", "_q")))   # one entry a feature
+    fill = F.array(*[F.coalesce(F.try_element_at("_m", F.lit(j)), F.lit(0.0)) for j in cols])
+    return cut(found.groupBy(*by, REPEAT, FOLD).agg(each.alias("_m")).select(*by, REPEAT, FOLD, fill.alias("fill")))
 
 
-def _side_ranks(held: DataFrame, by: list[str], folds: Sequence[str], js: list[int], k: int) -> pd.DataFrame:
-    """Per training side and feature: rows ``n``, wanted rank inside the bracket, and whether it lies there."""
-    pairs = F.array(*[F.struct(F.lit(r).alias(REPEAT), F.col(c).alias(FOLD)) for r, c in enumerate(folds)])
+def _side_ranks(held: DataFrame, by: list[str], folds: Sequence[str], js: list[int], k: int) -> DataFrame:
+    """Per training side and feature: rows ``n``, wanted rank inside the bracket, and whether it lies there (``ok``)."""
+    pairs = F.array(*[F.struct(F.lit(r).alias(REPEAT), F.col(c).cast("int").alias(FOLD)) for r, c in enumerate(folds)])
     x, lo, hi = (lambda j: F.col(f"_x{j}")), (lambda j: F.col(f"_b{j}")[0]), (lambda j: F.col(f"_b{j}")[1])
     counts = held.withColumn("_rf", F.explode(pairs)).groupBy(
-        *by, F.col("_rf")[REPEAT].alias(REPEAT), F.col("_rf")[FOLD].alias(FOLD)).agg(
-        *[F.count(x(j)).alias(f"n{j}") for j in js], *[F.count_if(x(j) < lo(j)).alias(f"b{j}") for j in js],
-        *[F.count_if((x(j) >= lo(j)) & (x(j) <= hi(j))).alias(f"i{j}") for j in js])
-    got = counts.limit(MAX_MEDIANS // len(js) + 1).toPandas()
-    if len(got) * len(js) > MAX_MEDIANS:
-        raise ValueError("too many (type, fold, feature) medians for the driver")
-    long = pd.concat([got[[*by, REPEAT, FOLD]].assign(j=j, n=got[f"n{j}"], below=got[f"b{j}"], inside=got[f"i{j}"]) for j in js])
+        *by, F.col("_rf")[REPEAT].alias(REPEAT), F.col("_rf")[FOLD].alias(FOLD)).agg(*[F.struct(
+            F.lit(j).alias("j"), F.count(x(j)).alias("n"), F.count_if(x(j) < lo(j)).alias("below"),
+            F.count_if((x(j) >= lo(j)) & (x(j) <= hi(j))).alias("inside")).alias(f"_c{j}") for j in js])
+    long = settled(counts.select(*by, REPEAT, FOLD, F.explode(F.array(*[f"_c{j}" for j in js])).alias("v")).select(*by, REPEAT, FOLD, "v.*"))
     sums = ["n", "below", "inside"]
-    total = long.groupby([*by, REPEAT, "j"], dropna=False)[sums].sum().reset_index()
-    every = total[[*by, REPEAT, "j"]].merge(pd.DataFrame({FOLD: range(k)}), how="cross")
-    part = every.merge(long, how="left", on=[*by, REPEAT, FOLD, "j"]).fillna({c: 0 for c in sums})
-    part = part.merge(total, on=[*by, REPEAT, "j"], suffixes=("", "_all"))
-    for c in sums:
-        part[c] = part[c + "_all"] - part[c]
-    out = pd.concat([part[[*by, REPEAT, FOLD, "j", *sums]], total[total[REPEAT] == 0].assign(**{FOLD: -1})], ignore_index=True)
-    out["rank"] = (out["n"] - 1) / 2.0 - out["below"]
-    out["ok"] = (out["n"] == 0) | ((out["rank"] >= 0) & (np.ceil(out["rank"]) <= out["inside"] - 1))
-    return out
+    total = long.groupBy(*by, REPEAT, "j").agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
+    every = total.withColumn(FOLD, F.explode(F.when(F.col(REPEAT) == 0, F.sequence(F.lit(-1), F.lit(k - 1))).otherwise(F.sequence(F.lit(0), F.lit(k - 1)))))
+    # a held-out fold is taken off; types may be null, and then still meet
+    a, b = every.alias("a"), long.alias("b")
+    same = F.lit(True)
+    for c in [*by, REPEAT, FOLD, "j"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    left = a.join(b, same, "left").select(*[f"a.{c}" for c in [*by, REPEAT, FOLD, "j"]], *[
+        (F.col(f"a.{c}_all") - F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c) for c in sums])
+    return left.withColumn("rank", (F.col("n") - 1) / 2 - F.col("below")).withColumn(
+        "ok", (F.col("n") == 0) | ((F.col("rank") >= 0) & (F.ceil("rank") <= F.col("inside") - 1)))
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +36,31 @@ def least_labels(grp: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.
 
 def _contracted(edges: DataFrame) -> DataFrame:
     """``grp, u, v``: inside each partition, an edge from every node to the least one it reaches there."""
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["grp", "u", "v"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def labels() -> pd.DataFrame:
-            pdf = pd.concat(held)
-            return pd.DataFrame(dict(zip(("grp", "u", "v"), least_labels(*(pdf[c].to_numpy() for c in ("grp", "u", "v"))))))
+        def labels() -> list[np.ndarray]:
+            return list(least_labels(*(np.concatenate(c) for c in zip(*held))))
+
+        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
+        kinds = [pa.string(), pa.int64(), pa.int64()]
+        for b in batches:
+            kinds = [c.type for c in b.columns]
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
             if size > HELD_EDGES:
                 held = [labels()]
-                size = len(held[0])
+                size = len(held[0][0])
                 if size > HELD_EDGES // 2:
-                    yield held[0]
+                    yield out(held[0])
                     held, size = [], 0
-        if held:
-            yield labels()
-    return edges.mapInPandas(rows, edges.schema)
+        if size:
+            yield out(labels())
+    return edges.mapInArrow(rows, edges.schema)
 
 
 def components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:

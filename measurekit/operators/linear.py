@@ -151,7 +151,7 @@ def model_schema(gram: Gram) -> T.StructType:
         T.StructField("val_sst", T.DoubleType()), T.StructField("train_sse", T.DoubleType())])
 
 
-def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None) -> DataFrame:
+def solve(gram: Gram, specs: Mapping[str, Spec], medians: DataFrame | None = None) -> DataFrame:
     """Every model on every training side: one row per (type, repeat, fold, model).
 
     Fold -1 is the fit on all rows. Validation sums come from the held-out Gram, so
@@ -159,7 +159,7 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
     """
     p, by, schema = len(gram.features), gram.by, model_schema(gram)
     at = [gram.features.index(c) for c in gram.missing]
-    shift, medians = np.array(gram.shift), dict(medians or {})
+    shift = np.array(gram.shift)
     width = gram.width
 
     features = gram.features
@@ -170,7 +170,10 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
             only = only.get(key[0])
         return None if only is None else np.isin(features, list(only))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame, fills: pd.DataFrame | None = None) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in schema.names})
+        known = {} if fills is None else {int(f): np.asarray(v, dtype=float) for f, v in zip(fills[FOLD], fills["fill"])}
         pdf = pdf.sort_values([FOLD, "chunk"])
         parts = {int(f): np.concatenate(g["m"].tolist()).reshape(width, width) for f, g in pdf.groupby(FOLD)}
         total = sum(parts.values())
@@ -180,8 +183,8 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
             raw = total if f == FULL else total - parts[f]
             if raw[0, 0] < 0.5:
                 continue
-            med = medians.get((*key, rep, f))
-            off = np.array(med) - shift[1:][at] if med is not None else None
+            med = known.get(f)
+            off = med - shift[1:][at] if med is not None else None
             fill = np.zeros(p)
             fill[:] = shift[1:]
             if med is not None:
@@ -200,7 +203,10 @@ def solve(gram: Gram, specs: Mapping[str, Spec], medians: Mapping | None = None)
                              held.syy if held else None, s.sse(b0, b)])
         return pd.DataFrame(rows, columns=schema.names)
 
-    return gram.table.groupBy(*by, REPEAT).applyInPandas(fit, schema)
+    keys = [*by, REPEAT]
+    if medians is None:
+        return gram.table.groupBy(*keys).applyInPandas(lambda pdf: fit(pdf), schema)
+    return gram.table.groupBy(*keys).cogroup(medians.groupBy(*keys)).applyInPandas(fit, schema)
 
 
 def settled_models(models: DataFrame, n_features: int) -> DataFrame:

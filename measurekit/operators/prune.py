@@ -17,6 +17,8 @@ from .gram import CHUNK, column_means
 
 VAR_FLOOR = 1e-6
 CORR_CEIL = 0.98
+BLOCK = 32                  # columns of a side of a tile
+PASS_BYTES = 256 << 20      # tiles that a task holds
 
 
 def feature_variances(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> DataFrame:
@@ -35,44 +37,58 @@ def variance_prune(df: DataFrame, cols: Sequence[str], floor: float = VAR_FLOOR,
     return list(cols) if not kept and keep_all_if_none else kept
 
 
-def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(i, j, r)`` with ``i`` before ``j`` in column order, over pairwise complete rows.
+def correlations(df: DataFrame, cols: Sequence[str], block: int = BLOCK, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """``(pos_i, pos_j, i, j, r)`` with ``i`` before ``j`` in column order, over pairwise complete rows.
 
-    One pass: with ``Z`` the shifted values (0 where missing), ``P`` the presence mask
-    and ``Q = Z*Z``, the four products ``Z'Z, Z'P, Q'P, P'P`` hold every pairwise sum.
+    Columns are cut into blocks; a tile is the cross products of two blocks. With ``Z`` the shifted values (0 where
+    missing), ``P`` the presence mask and ``Q = Z*Z``, six products of a tile hold every sum its pairs need. Tiles are
+    summed by key with map-side combining and judged where they are. A pass holds at most ``pass_bytes`` of tiles in a
+    task, so many columns take several passes.
     """
     cols = list(cols)
     df = df.select(*[finite(F.col(c)).alias(c) for c in cols])
     means, _ = column_means(df, cols)
     shift, p = np.array(means), len(cols)
-
-    def partials(batches):
-        acc = np.zeros((4, p, p))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - shift
-            has = ~np.isnan(x)
-            z, m = np.where(has, x, 0.0), has.astype(float)
-            acc += np.stack([z.T @ z, z.T @ m, (z * z).T @ m, m.T @ m])
-        flat = acc.ravel()
-        yield pd.DataFrame({"chunk": range(-(-flat.size // CHUNK)),
-                            "m": [flat[s:s + CHUNK] for s in range(0, flat.size, CHUNK)]})
+    edges = [(s, min(p, s + block)) for s in range(0, p, block)]
+    tiles = [(a, b) for b in range(len(edges)) for a in range(b + 1)]
+    each = max(1, int(pass_bytes // (6 * 8 * block * block)))
+
+    def partials(own: list[tuple[int, int]]):
+        def rows(batches):
+            acc: dict[tuple[int, int], np.ndarray] = {}
+            for pdf in batches:
+                x = pdf.to_numpy(dtype=float) - shift
+                has = ~np.isnan(x)
+                z, m = np.where(has, x, 0.0), has.astype(float)
+                q = z * z
+                for a, b in own:
+                    i, j = slice(*edges[a]), slice(*edges[b])
+                    t = np.stack([z[:, i].T @ z[:, j], z[:, i].T @ m[:, j], m[:, i].T @ z[:, j], q[:, i].T @ m[:, j], m[:, i].T @ q[:, j], m[:, i].T @ m[:, j]])
+                    acc[a, b] = acc[a, b] + t if (a, b) in acc else t
+            for (a, b), t in acc.items():
+                flat = t.ravel()
+                yield pd.DataFrame({"a": a, "b": b, "chunk": range(-(-flat.size // CHUNK)), "m": [flat[s:s + CHUNK] for s in range(0, flat.size, CHUNK)]})
+        return rows
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.concatenate(pdf.sort_values("chunk")["m"].tolist()).reshape(4, p, p)
-        zz, zm, qm, mm = a
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        (i0, i1), (j0, j1) = edges[a], edges[b]
+        zz, zm, mz, qm, mq, mm = np.concatenate(pdf.sort_values("chunk")["m"].tolist()).reshape(6, i1 - i0, j1 - j0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            cov = zz - zm * zm.T / mm
-            vi = qm - zm ** 2 / mm
-            den = np.sqrt(vi * vi.T)
-            r = np.where(den > 1e-12 * np.maximum(np.sqrt(qm * qm.T), 1e-300), cov / den, np.nan)
-        i, j = np.triu_indices(p, 1)
-        return pd.DataFrame({"pos_i": i, "pos_j": j, "i": np.array(cols)[i], "j": np.array(cols)[j],
-                             "r": pd.Series(r[i, j]).astype(object).where(~np.isnan(r[i, j]), None)})
-
-    summed = df.mapInPandas(partials, "chunk int, m array<double>").groupBy("chunk").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
-    return summed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        pairs, "pos_i int, pos_j int, i string, j string, r double")
+            cov = zz - zm * mz / mm
+            den = np.sqrt((qm - zm ** 2 / mm) * (mq - mz ** 2 / mm))
+            r = np.where(den > 1e-12 * np.maximum(np.sqrt(qm * mq), 1e-300), cov / den, np.nan)
+        i, j = np.nonzero(np.arange(i0, i1)[:, None] < np.arange(j0, j1)[None, :])
+        v = r[i, j]
+        return pd.DataFrame({"pos_i": i + i0, "pos_j": j + j0, "i": np.array(cols)[i + i0], "j": np.array(cols)[j + j0],
+                             "r": pd.Series(v).astype(object).where(~np.isnan(v), None)})
+
+    summed = None
+    for s in range(0, len(tiles), each):
+        part = df.mapInPandas(partials(tiles[s:s + each]), "a int, b int, chunk int, m array<double>")
+        summed = part if summed is None else summed.unionAll(part)
+    whole = summed.groupBy("a", "b", "chunk").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
+    return whole.groupBy("a", "b").applyInPandas(pairs, "pos_i int, pos_j int, i string, j string, r double")
 
 
 def correlation_drops(df: DataFrame, cols: Sequence[str], ceil: float = CORR_CEIL) -> DataFrame:

@@ -240,6 +240,24 @@ def _(spark, d):
     return _tree_scores(spark, d, "gbm", trees.PRESETS["gbm"])
 
 
+_EDGES = ", ".join(f"{i}/64.0" for i in range(1, 64))
+
+
+@query("one_split_boosting", "K8", cte("m_items", sql_long("a", "m_items", 1), f"""
+ed as (select target_type, unnest(list_distinct(quantile_cont(x1, [{_EDGES}]))) as edge from m_items group by 1)""", """
+gr as (select f.target_type, k.fold as fit, x1, count(*) as n, sum(target) as s from a_f f join (select unnest(range(5)) as fold) k on f.fold <> k.fold group by all)""", """
+ba as (select target_type, fit, sum(n) as n, sum(s)/sum(n) as base from gr group by all)""", """
+sp as (select gr.target_type, gr.fit, edge, ba.n, base, sum(case when x1 <= edge then gr.n else 0 end) as nl, sum(case when x1 <= edge then gr.s - gr.n*base else 0 end) as sl,
+  sum(case when x1 > edge then gr.s - gr.n*base else 0 end) as sr from gr join ba using (target_type, fit) join ed using (target_type) group by all)""", """
+be as (select *, row_number() over (partition by target_type, fit order by round(sl*sl/nl + sr*sr/(n-nl), 4) desc, edge) as k from sp where nl > 0 and nl < n)""") + f"""
+select row_id, {r6('base + 0.5*(case when x1 <= edge then sl/nl else sr/(n-nl) end)', 'pred')} from a_f f join be on f.target_type = be.target_type and f.fold = be.fit where k = 1""")
+def _(spark, d):
+    """One round of depth one at rate .5: the only split is the best quantile edge of each type and fold."""
+    m = fold_columns(items(spark, d), 5, 1)
+    p = trees.tree_oof_by_type(m, ITEM_TYPES, ["x1"], {"kind": "gbt", "maxIter": 1, "maxDepth": 1, "stepSize": 0.5}, "stump")
+    return p.select(ROW, rounded(F.col("pred_stump")).alias("pred"))
+
+
 @query("shared_model", "K9 B11 D11")
 def _(spark, d):
     """One boosted model for every type, scored per fold and averaged."""
@@ -421,6 +439,23 @@ def _(spark, d):
     return rounds(out.select(TYPE, "winner", "delta", "accepted"), "delta", digits=5)
 
 
+@query("tree_search", "L8 K8")
+def _(spark, d):
+    """Boosting candidates by successive halving, types and folds together, then the gate on the full split."""
+    from ..operators.search import search_roster
+    out = search_roster(items(spark, d), ["x1", "x2", "x3", "x4"], {**trees.PRESETS["gbm"], "l2": 0.0},
+                        {"maxDepth": [3, 4, 5, 6], "stepSize": (0.02, 0.2), "subsamplingRate": [0.6, 0.8, 1.0], "l2": [0.0, 1.0, 5.0]}, n=9, repeats=1)
+    return rounds(out.select(TYPE, "winner", "params", "delta", "accepted"), "delta", digits=4)
+
+
+@query("neighbour_search", "L8 K6")
+def _(spark, d):
+    """Numbers of neighbours from one search for the largest, gated on the full split."""
+    from ..operators.search import search_roster
+    out = search_roster(events(spark, d).filter(F.col(Y).isNotNull()), ["x1", "x2"], {"kind": "knn", "k": 10}, {"k": [1, 3, 5, 20, 40]}, n=6, repeats=1)
+    return rounds(out.select(TYPE, "winner", "params", "delta", "accepted"), "delta", digits=4)
+
+
 @query("clip_and_contract", "D13 L26 A9", cte("m_items", sql_long("a", "m_items", 1), *sql_linear("o", "a_f", "x1"), sql_pred("o", "a_f", "x1", "p"), """
 b as (select target_type, min(target) - 0.1*(max(target)-min(target)) lo, max(target) + 0.1*(max(target)-min(target)) hi from m_items group by 1)""", """
 q as (select p.row_id, greatest(lo, least(hi, pred)) as target from p join b using (target_type))""") + """

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import FOLD, KEY, MODEL, PRED, REPEAT, ROW, TYPE, Y
@@ -265,17 +262,23 @@ def _(spark, d):
     return augment.search_fraction(tr, sc, FEATS, BASE, cv)
 
 
-@query("per_type_process", "L29")
+def _run_config(**more):
+    from .whole_run import Config
+    return Config(features=["x1", "x2", "x3", "x4"], dense=[("AF", ["NF", "RO"])], **more)
+
+
+@query("per_type_process", "L29 L18 K13")
 def _(spark, d):
-    from .whole_run import Config, run
+    """Every step of a type's process on the full roster, and what was decided."""
+    from .whole_run import run
     tr, sc = scoring_side(items(spark, d))
-    return run(tr, sc, Config(features=["x1", "x2", "x3", "x4"])).report
+    return run(tr, sc, _run_config()).report
 
 
 @query("whole_run", "L30")
 def _(spark, d):
-    from .whole_run import Config, run
+    from .whole_run import run
     tr, sc = scoring_side(items(spark, d))
-    result = run(tr, sc, Config(features=["x1", "x2", "x3", "x4"], anchors={"AF": F.col("xtarget_AO") - 10}))
+    result = run(tr, sc, _run_config(anchors={"AF": F.col("xtarget_AO") - 10}, pseudo_rounds=2))
     back = result.predictions.join(sc.select(ROW, Y), ROW)
     return rounds(evaluate.r2_rmse(back, [TYPE]), "r2", "rmse", digits=3)
