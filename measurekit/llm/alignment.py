@@ -14,6 +14,8 @@ of pairs, bounded by the vocabularies, is sent to a last narrow pass in parts of
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +35,9 @@ FAN = 16                 # fragments joined at a time across tasks
 PART_PAIRS = 2_000_000   # pairs of ids sent to a task at a time
 FLUSH_PAIRS = 1_000_000
 B_BITS = 20
-ROWS = 1_000             # texts of a batch that are held as Python objects at a time
+ROWS = 500               # texts of a batch that are held as Python objects at a time
+KNOWN_CHARS = 3_000_000  # of the words that a task remembers
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")   # where neither tokenizer joins bytes
 
 
 class Tokenizers:
@@ -180,16 +184,87 @@ def _columns(rows: list[tuple], names: list[str], ids: pa.Array) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names)
 
 
+class Words:
+    """Closed fragments of the stretches between single spaces, each computed once while a task remembers it.
+
+    Such a stretch, with the space before it, has common cuts at both ends, so fragments of neighbours are joined by putting
+    one behind the other. New stretches of a batch are aligned together, as one row of tokens.
+    """
+
+    def __init__(self, most: int = KNOWN_CHARS):
+        self.tokens, self.most = Tokenizers(), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 4), np.int64)      # n_a (-1 where a vocabulary changes bytes), n_b, n_groups, first link
+        self.links = np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        t = self.tokens
+        ids = t.b.encode(words, num_threads=1)
+        raw = [f" {w}".encode() for w in words]
+        good = [b"".join(map(t.b_bytes.__getitem__, x)) == r for x, r in zip(ids, raw)]
+        # words without white space at an end are cut apart by single spaces, so one call encodes them all
+        kind = [2 - ok - (w == w.strip()) if ok else 2 for w, ok in zip(words, good)]
+        fine, inner = sum(good), kind.count(0)
+        if inner < len(words):
+            order = np.argsort(kind, kind="stable").tolist()
+            words, raw, good, ids = ([x[i] for i in order] for x in (words, raw, good, ids))
+        a_ids = [t.a.plain(f" {' '.join(words[:inner])}") if inner else [], *[t.a.plain(f" {w}") for w in words[inner:fine]]]
+        n_b = np.array([len(x) if ok else 0 for x, ok in zip(ids, good)], np.int64)
+        a = np.fromiter(itertools.chain.from_iterable(a_ids), np.int64, sum(map(len, a_ids)))
+        b = np.fromiter(itertools.chain.from_iterable(ids[:fine]), np.int64, int(n_b.sum()))
+        a_end, b_end = np.cumsum(t.a_len[a]), np.cumsum(t.b_len[b])
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        upto = np.cumsum(np.array([len(r) if ok else 0 for r, ok in zip(raw, good)], np.int64))
+        _, text, pairs = closed((a, a_end, b, b_end), common)
+        each = text.split(";") if text else []
+        last, links = np.searchsorted(common, upto, "right"), np.searchsorted(np.union1d(a_end, b_end), upto, "right")
+        first = np.r_[0, last[:-1]]
+        tokens = np.searchsorted(a_end, upto, "right")
+        n_a = tokens - np.r_[0, tokens[:-1]]
+        base = len(self.groups)
+        self.groups += [";".join(each[i:j]) for i, j in zip(first.tolist(), last.tolist())]
+        self.known.update(zip(words, range(base, base + len(words))))
+        own = np.column_stack([np.where(good, n_a, -1), n_b, last - first, np.r_[0, links[:-1]] + len(self.links)])
+        self.counts, self.links = np.concatenate([self.counts, own]), np.concatenate([self.links, pairs])
+        self.chars += sum(map(len, words))
+
+    def rows(self, texts: list[str | None]) -> list[tuple]:
+        parts = [_SINGLE.split(t) if t else [] for t in texts]
+        if self.chars > self.most:
+            self.clear()
+        new = set().union(*parts).difference(self.known)
+        if new:
+            self.learn(sorted(new))
+        ends = np.r_[self.counts[:, 3], len(self.links)]
+        out = []
+        for p in parts:
+            at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
+            own = self.counts[at]
+            if not len(p) or own[:, 0].min() < 0:
+                out.append(_done(None))
+                continue
+            word, times = np.unique(at, return_counts=True)
+            width = ends[word + 1] - ends[word]
+            links = self.links[np.arange(width.sum()) + np.repeat(ends[word] - np.cumsum(width) + width, width)]
+            n_a, n_b, n_groups, _ = own.sum(0).tolist()
+            text = ";".join(map(self.groups.__getitem__, at.tolist()))
+            # a pair that several words have is listed for each: counts only add them up
+            out.append((n_a, n_b, n_groups, int((width * times).sum()), hashlib.sha256(text.encode()).hexdigest(), links, np.repeat(times, width)))
+        return out
+
+
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens = Tokenizers()
+    words = Words()
     names = [f.split()[0] for f in _ROW.split(", ")]
     for batch in batches:
         for lo in range(0, batch.num_rows, ROWS):
-            b, rows = batch.slice(lo, ROWS), []
-            for text in b.column(1).to_pylist():
-                t = tokens(text) if text else None
-                rows.append(_done(None if t is None else of_segment(t, 0)))
-            yield _columns(rows, names, b.column(0))
+            b = batch.slice(lo, ROWS)
+            yield _columns(words.rows(b.column(1).to_pylist()), names, b.column(0))
 
 
 def _cut_up(size: int):
@@ -329,7 +404,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT, part_pairs: int = PART_PAIRS) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``.
 
-    A null or empty text has no tokens: zeros and an empty ``groups_sha256``; so has a text whose bytes a vocabulary
+    Other texts are put together from their words' fragments. A null or empty text has no tokens: zeros and an empty ``groups_sha256``; so has a text whose bytes a vocabulary
     changes, such as one that holds U+2581. Texts above ``segment`` bytes are tokenised in segments by many tasks and
     give what they would give whole. Repeated rows and rows without an id are documents of their own; an empty
     table gives no rows; other columns are not read. ``n_best``: links whose pair is among the most linked of its B id.
