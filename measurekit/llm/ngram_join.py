@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dist import join_measured, join_small, settled
+from ..dist import join_measured, settled
 from ..operators.graph import components
 from .common import discard, fresh, stored, stored_at
 
@@ -45,6 +45,8 @@ ROWS = 500              # texts that a task holds as sets at a time
 KNOWN_WORDS = 150_000   # words whose hashes a task remembers
 SAMPLE = 64           # one in so many nodes tells which tokens are frequent
 FREQUENT = 8          # times in the sample; others are counted where they meet, about ``SAMPLE * FREQUENT`` rows at most
+SALTS = 1024          # places over which the rows of a frequent token stay spread
+PIVOTS_PAY = 20       # a round of pivots is followed by another while one in so many of its candidates is a link
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 T_SCHEMA = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, sketch binary, bands array<int>, tokens array<array<long>>"
 
@@ -179,21 +181,17 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def with_frequency(flat: DataFrame) -> DataFrame:
-    """``node, band, sig`` with ``f``, the rows of the token, where two or more.
+def with_frequency(flat: DataFrame, sample: DataFrame) -> DataFrame:
+    """``node, band, sig`` with ``f``, which puts tokens in an order of frequency; tokens of one row are left out.
 
-    Rows meet once, at their token. Tokens that a sample of the nodes shows to be frequent would make large groups: these are
-    counted by sums that tasks combine, and get their count by a measured join.
+    Rows meet once, at their token, and are counted there. Tokens that a ``sample`` of the nodes shows to be frequent would make large
+    groups: ``f`` is then the estimate from the sample, the same for all their rows, which stay spread.
     """
-    seen = flat.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
-    often = settled(seen.filter(F.col("f") >= FREQUENT).select("sig", F.lit(True).alias("often")))
-    there = Window.partitionBy("sig")
-    if often.isEmpty():
-        return flat.withColumn("f", F.count(F.lit(1)).over(there)).filter("f > 1")
+    often = settled(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= FREQUENT))
     marked = join_measured(flat, often, ["sig"])
-    rest = marked.filter("often is null").drop("often").withColumn("f", F.count(F.lit(1)).over(there)).filter("f > 1")
-    hot = marked.filter("often").drop("often")
-    return rest.unionByName(join_small(hot, hot.groupBy("sig").agg(F.count(F.lit(1)).alias("f")), "sig").filter("f > 1"))
+    salt = F.when(F.col("seen").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    counted = marked.withColumn("salt", salt).withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("sig", "salt")))
+    return counted.withColumn("f", F.coalesce(F.col("seen") * SAMPLE, "f")).filter("f > 1").drop("seen", "salt")
 
 
 def index(wide: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -207,9 +205,10 @@ def index(wide: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> D
     key = ["doc_id", "d1", "d2"]
     copies = stored(sets.select(*key).join(nodes, ["d1", "d2"]).filter("doc_id <> node").select(*key).distinct())
     own = wide.select(*key, "bands", "tokens").join(small(copies), key, "left_anti")
-    flat = own.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("bands", "tokens")).alias("z")).select(
+    exploded = lambda d: d.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("bands", "tokens")).alias("z")).select(
         "node", F.col("z.bands").alias("band"), F.explode("z.tokens").alias("sig"))
-    common = with_frequency(flat).repartition("node")   # for the ranks and the join
+    some = exploded(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0))
+    common = with_frequency(exploded(own), some).repartition("node")   # for the ranks and the join
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("f"), F.desc("sig")))
     used = common.withColumn("skip", F.element_at(spare, F.col("band") + 1)).withColumn("at", place).filter("at > skip").select("sig", "node", "band")
     return used.join(sets.select(F.col("doc_id").alias("node"), "n", *BITS).distinct(), "node")
@@ -318,12 +317,15 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
         # comparing all would cost the square of a token's nodes, less those of one component: first join each to one more pivot
         parts = open_.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
         pairs, seen = parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)) / 2, F.coalesce(F.sum("n"), F.lit(0))).first()
-        more = None
+        more, pays = None, False
         if pairs > 4 * seen:
             pivot = open_.filter("c > lo").groupBy("sig").agg(F.min(F.struct("c", "node", "n", *BITS)).alias("m")).select("sig", "m.*")
             star = open_.alias("x").join(pivot.alias("p"), "sig").filter(F.col("x.c") != F.col("p.c")).filter(_close("x", "p", percent))
-            more = stored(verify(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct(), real, plain, size, percent))
-        if more is None or more.isEmpty():
+            tried = stored(star.select(F.col("p.node").alias("src"), F.col("x.node").alias("dst")).distinct())
+            more = stored(verify(tried, real, plain, size, percent))
+            rounds.append(more)
+            pays = more.count() * PIVOTS_PAY >= max(1, tried.count())
+        if not pays:
             key = [F.col("doc_id").alias("node"), "n", *BITS]
             fine = open_.drop("lo").join(real.select(*key, "sketch").dropDuplicates(["node", "n", *BITS]), ["node", "n", *BITS])
             names = ["node", "n", *BITS, "sig", "band", "c", "sketch"]
@@ -333,7 +335,6 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
             rounds.append(stored(verify(cross.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct(), real, plain, size, percent)))
             discard(spark, folder)
             break
-        rounds.append(more)
         label = stored(_labels(_all(rounds)))
         discard(spark, was)
     found = _all(rounds)
