@@ -42,11 +42,11 @@ class Gram:
         return 2 + len(self.features) + len(self.missing)
 
 
-def column_means(df: DataFrame, cols: Sequence[str]) -> tuple[list[float], list[str]]:
-    """Means of the columns and the names of those with nulls, in one aggregate."""
-    n = F.count(F.lit(1)).alias("_n")
-    row = df.agg(n, *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+def column_means(df: DataFrame, cols: Sequence[str], known: str | None = None) -> tuple[list[float], list[str]]:
+    """Means of the columns and the names of those with nulls, in one aggregate; over the rows where ``known`` is not null."""
+    of = (lambda x: x) if known is None else (lambda x: F.when(F.col(known).isNotNull(), x))
+    row = df.agg(F.count(of(F.lit(1))).alias("_n"), *[F.avg(of(F.col(c))).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.count(of(F.col(c))).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     means = [row[f"m{i}"] or 0.0 for i in range(len(cols))]
     return means, [c for i, c in enumerate(cols) if row[f"c{i}"] < row["_n"]]
 
@@ -63,7 +63,7 @@ def fold_gram(df: DataFrame, features: Sequence[str], by, folds: Sequence[str],
     df = df.select(*by, *folds, finite(F.col(target)).alias(target), *[finite(F.col(c)).alias(c) for c in features if c != target],
                    *([F.col(weight).cast("double").alias(weight)] if weight else []))
     if like is None:
-        means, gaps = column_means(df.drop(*folds).filter(F.col(target).isNotNull()), [target, *features])
+        means, gaps = column_means(df.drop(*folds), [target, *features], target)
         missing = [c for c in features if c in gaps]
     else:
         means, missing = like.shift, like.missing

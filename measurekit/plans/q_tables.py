@@ -76,6 +76,16 @@ def _(spark, d):
     return tables.materialize(feats, src, folder, "x12,x34")
 
 
+@query("materialized_by_file", "A7", "select doc_id, lang, length(coalesce(text, ''))::bigint as n_text, md5(text) as text_md5 from documents")
+def _(spark, d):
+    """Features of every document, taken from the store where their file has not changed."""
+    feats = lambda rows: rows.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_text"),
+                                     F.md5("text").alias("text_md5"), "file_key")
+    folder = scratch(spark, "by_file")
+    tables.materialize_files(spark, f"{d}/documents.parquet", folder, feats, "length,md5")
+    return tables.materialize_files(spark, f"{d}/documents.parquet", folder, feats, "length,md5")
+
+
 @query("attach_external_predictions", "A8", I + f""",
 raw as (select row_id, supp + 1.5 * entity as pred from m_items where not (target_type = 'AF' and line = 3)
   union all select row_id, -1.0 from m_items where target_type = 'RO' and line = 2),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions.scalars import finite
 
 SPREAD_BELOW = 1 << 30
 ROWS_PER_FILE = 5_000_000
+MANY_FILES = 10_000      # changed files that are named one by one; beyond, all are listed and joined
 CODE_VERSION = "1"   # part of every materialisation key; raise when feature code changes
 
 
@@ -138,6 +140,52 @@ def materialize(df: DataFrame, source: DataFrame, folder: str, params: str = "")
     return spark.read.parquet(path)
 
 
+def source_files(spark: SparkSession, source: str, params: str = "") -> DataFrame:
+    """``path, length, changed, file_key`` of a Parquet source's files; only their listing is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(source)
+    key = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"), F.lit(CODE_VERSION), F.lit(params)), 256)
+    return listed.select("path", "length", F.col("modificationTime").alias("changed"), key.alias("file_key"))
+
+
+def materialize_files(spark: SparkSession, source: str, folder: str, compute: Callable[[DataFrame], DataFrame], params: str = "") -> DataFrame:
+    """Row-wise features of a Parquet source, computed anew only for files that are new or have changed.
+
+    ``compute`` maps rows to features, each from its row alone. Every call adds a batch with the rows of the files it
+    computed and a manifest of all files it saw; rows of files that have gone or changed since are left out. A batch is
+    complete once its manifest is there, so one that a lost job left behind is never read. Files are told apart by path, length
+    and modification time; their content is read once.
+    """
+    from ..dist import join_small, settled
+    root = folder.rstrip("/")
+    now = settled(source_files(spark, source, params))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [x.getPath().toString() for x in (fs.globStatus(path.suffix("/batch-*/files/_SUCCESS")) or [])]   # one for each call that found changes
+    batches = [x[:-len("/files/_SUCCESS")] for x in done]
+    known = None
+    for b in batches:
+        part = spark.read.parquet(f"{b}/files").select("file_key")
+        known = part if known is None else known.unionAll(part)
+    fresh = now if known is None else settled(now.join(known.distinct(), "file_key", "left_anti"))
+    if not fresh.isEmpty():
+        batch = f"{root}/batch-{uuid.uuid4().hex}"
+        rows = spark.read.option("recursiveFileLookup", True).parquet(source)
+        few = fresh.limit(MANY_FILES + 1).collect()
+        if len(few) <= MANY_FILES:
+            rows = spark.read.parquet(*[r["path"] for r in few])
+        # the path names the file a row comes from: a slash more or less after the scheme is the same file
+        plain = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:/")
+        keys = fresh.select(plain(F.col("path")).alias("_path"), "file_key")
+        tagged = join_small(rows.withColumn("_path", plain(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")))), keys, "_path").drop("_path")
+        compute(tagged).write.parquet(f"{batch}/rows")
+        fresh.write.parquet(f"{batch}/files")
+        batches.append(batch)
+    if not batches:
+        raise FileNotFoundError(f"no Parquet files in {source}")
+    held = spark.read.parquet(*[f"{b}/rows" for b in batches])
+    return join_small(held, now.select("file_key"), "file_key", "left_semi").drop("file_key")
+
+
 def attach_predictions(df: DataFrame, external: DataFrame, pred: str = PRED) -> DataFrame:
     """Externally computed predictions joined by row id, kept only for fully covered types.
 
