@@ -240,7 +240,7 @@ def _(spark, d):
     return _tree_scores(spark, d, "gbm", trees.PRESETS["gbm"])
 
 
-_EDGES = ", ".join(f"{i}/64.0" for i in range(1, 64))
+_EDGES = ", ".join(f"{i}/32.0" for i in range(1, 32))
 
 
 @query("one_split_boosting", "K8", cte("m_items", sql_long("a", "m_items", 1), f"""

@@ -263,8 +263,11 @@ def _(spark, d):
 
 
 def _run_config(**more):
+    """Linear, neighbour and boosted columns; the forest and the other boosting variants of ``ZOO`` are the default of ``Config``."""
     from .whole_run import Config
-    return Config(features=["x1", "x2", "x3", "x4"], dense=[("AF", ["NF", "RO"])], **more)
+    from .zoo import LINEAR_ZOO, ZOO
+    return Config(features=["x1", "x2", "x3", "x4"], zoo={**LINEAR_ZOO, "knn": ZOO["knn"], "gbm": ZOO["gbm"]}, dense=[("AF", ["NF", "RO"])],
+                  seeds=(42, 43), **more)
 
 
 @query("per_type_process", "L29 L18 K13")
