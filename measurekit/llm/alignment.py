@@ -35,8 +35,8 @@ FAN = 16                 # fragments joined at a time across tasks
 PART_PAIRS = 2_000_000   # pairs of ids sent to a task at a time
 FLUSH_PAIRS = 1_000_000
 B_BITS = 20
-ROWS = 500               # texts of a batch that are held as Python objects at a time
-KNOWN_CHARS = 3_000_000  # of the words that a task remembers
+ROWS = 100               # texts of a batch that are held as Python objects at a time
+KNOWN_CHARS = 800_000    # of the words that a task remembers
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")   # where neither tokenizer joins bytes
 
 
@@ -230,7 +230,7 @@ class Words:
         self.groups += [";".join(each[i:j]) for i, j in zip(first.tolist(), last.tolist())]
         self.known.update(zip(words, range(base, base + len(words))))
         own = np.column_stack([np.where(good, n_a, -1), n_b, last - first, np.r_[0, links[:-1]] + len(self.links)])
-        self.counts, self.links = np.concatenate([self.counts, own]), np.concatenate([self.links, pairs])
+        self.counts, self.links = np.concatenate([self.counts, own]), np.concatenate([self.links, pairs])   # bounded, so a copy is cheap
         self.chars += sum(map(len, words))
 
     def rows(self, texts: list[str | None]) -> list[tuple]:
@@ -253,8 +253,9 @@ class Words:
             links = self.links[np.arange(width.sum()) + np.repeat(ends[word] - np.cumsum(width) + width, width)]
             n_a, n_b, n_groups, _ = own.sum(0).tolist()
             text = ";".join(map(self.groups.__getitem__, at.tolist()))
-            # a pair that several words have is listed for each: counts only add them up
-            out.append((n_a, n_b, n_groups, int((width * times).sum()), hashlib.sha256(text.encode()).hexdigest(), links, np.repeat(times, width)))
+            pair, which = np.unique(links, return_inverse=True)
+            often = np.bincount(which, np.repeat(times, width)).astype(np.int32)
+            out.append((n_a, n_b, n_groups, int(often.sum()), hashlib.sha256(text.encode()).hexdigest(), pair, often))
         return out
 
 
