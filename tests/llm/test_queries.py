@@ -24,7 +24,8 @@ def rows(spark, sf, op, *cols):
 @pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if k.startswith("op")))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     got = entry.queries()[name](spark, sf).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
